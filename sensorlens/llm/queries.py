@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package, table
+from .packing import packed
 from .token_counts import token_counts
 
 
@@ -21,8 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
