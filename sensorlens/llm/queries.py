@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship_package, table
+from .common import new_folder, ship_package, table
 from .packing import packed
 from .token_counts import token_counts
+from .token_store import stored_digests
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return stored_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), new_folder(spark, "store"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -29,6 +35,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
 }
 
