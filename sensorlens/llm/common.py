@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Words of every contract here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,3 +57,24 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
 def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def placed_in_order(df: DataFrame, order: list, sums: dict[str, str], label: str) -> DataFrame:
+    """``df`` with ``place``, its rank from 0 in ``order``, and for each ``new: old`` of ``sums`` the sum of ``old`` over the rows before.
+
+    Ranks and sums are taken in two levels: inside ranges of ``order``, and over the totals of the ranges, one row for each
+    partition. The ranges are written first, since a second evaluation may bound them elsewhere.
+    """
+    keys = [f"_order{k}" for k in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order, strict=True)))
+    ranged = settled(keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), label)
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(old).alias(f"_all_{new}") for new, old in sums.items()))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = {"_rows": "_rows", **{f"_all_{new}": f"_all_{new}" for new in sums}}
+    offsets = totals.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in carried))
+    inside = W.partitionBy("_part").orderBy(*keys)
+    running = inside.rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(offsets), "_part")  # one row for each partition
+    places = {"place": F.col("_rows") + F.row_number().over(inside) - 1}
+    places |= {new: F.col(f"_all_{new}") + F.coalesce(F.sum(old).over(running), F.lit(0)) for new, old in sums.items()}
+    return out.withColumns(places).drop("_part", *carried, *keys)
