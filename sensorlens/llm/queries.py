@@ -10,6 +10,7 @@ from . import mixing
 from .common import new_folder, ship_package, table
 from .packing import packed
 from .quality_rules import judged
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_store import stored_digests
 
@@ -39,6 +40,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
 }
 
