@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .common import new_folder, ship_package, table
+from .html_text import main_texts
+from .language_id import identified
+from .media import stored_media
 from .packing import packed
 from .quality_rules import judged
 from .simhash import near_duplicates
@@ -40,6 +43,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,15 +57,35 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return warc.audited_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return stored_media(table(spark, sf_dir, "documents"), new_folder(spark, "media"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
+    "op9_html_text": op9_html_text,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
