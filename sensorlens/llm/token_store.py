@@ -40,18 +40,21 @@ def _gear(size: int) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, size, np.uint64)
 
 
-def chunk_ends(ids: np.ndarray, size: int) -> list[int]:
-    """Ends of the chunks of one document. They depend on the ids alone."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear = _gear(size)[ids]
-    roll = gear.copy()
-    for k in range(1, WINDOW):
-        roll[k:] += gear[:-k] << np.uint64(k)
-    hits = np.flatnonzero((roll >> np.uint64(24)) % np.uint64(MEAN) == 0) + 1
+def cut_hints(ids: np.ndarray, size: int) -> np.ndarray:
+    """Places where the rolling hash over the last ``WINDOW`` ids allows a cut, in ascending order."""
+    roll, k = _gear(size)[ids], 1
+    while k < WINDOW:  # a hash over k ids and the one over the k before give that over 2k
+        wider = roll.copy()
+        wider[k:] += roll[:-k] << np.uint64(k)
+        roll, k = wider, 2 * k
+    return np.flatnonzero((roll >> np.uint64(24)) % np.uint64(MEAN) == 0) + 1
+
+
+def chunk_ends(hints: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids with ``hints``. No cut comes before ``LEAST`` ids, so that a hash over
+    ids of the document before can't make one: the chunks depend on the document's ids alone."""
     ends, last = [], 0
-    for h in hits.tolist():
+    for h in hints:
         while h - last > GREATEST:
             last += GREATEST
             ends.append(last)
@@ -86,12 +89,17 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, fanout
             for first, group in encoded_slices(encoder, texts):
                 made: dict[bytes, bytes] = {}
                 recipes = []
-                for k, ids in enumerate(group, first):
-                    ids = np.concatenate([ids, end])
-                    ends = chunk_ends(ids, size)
+                stream = np.concatenate([part for ids in group for part in (ids, end)])
+                stops = np.cumsum([len(ids) + 1 for ids in group])
+                hints = cut_hints(stream, size)
+                marks = np.searchsorted(hints, stops, side="right").tolist()
+                begin = mark = 0
+                for k, (stop, upto) in enumerate(zip(stops.tolist(), marks, strict=True), first):
+                    ends = chunk_ends((hints[mark:upto] - begin).tolist(), stop - begin)
+                    raw, begin, mark = stream[begin:stop].tobytes(), stop, upto
                     addresses = []
                     for a, b in zip([0, *ends], ends, strict=False):
-                        body = ids[a:b].tobytes()
+                        body = raw[a * encoder.dtype.itemsize : b * encoder.dtype.itemsize]
                         addresses.append(hashlib.sha256(body).digest()[:ADDRESS])
                         if addresses[-1] not in sent:
                             made[addresses[-1]] = body
