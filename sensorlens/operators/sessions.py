@@ -73,11 +73,21 @@ def delay_statistics(sessions: DataFrame, ts: str = "timestamp", order: str = "i
 
 
 def build_sessions(events: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataFrame:
-    """One row for each session: bounds, source, ordered distinct lists and delays."""
+    """One row for each session: bounds, source, ordered distinct lists and delays.
+
+    The events are read in two branches: one for bounds and delays, one that makes the values of all lists distinct at once.
+    """
     marked = sessionize(events, gap_seconds=gap_seconds)
-    out = session_bounds(marked).join(session_mode(marked, "log_source"), "session", "left").join(delay_statistics(marked), "session", "left")
-    for name, column in {**LISTS, **NON_EMPTY_LISTS}.items():
-        if column in events.columns:
-            out = out.join(distinct_in_order(marked, column, name, keep_empty=name in LISTS), "session", "left")
-    lists = [n for n in {**LISTS, **NON_EMPTY_LISTS} if n in out.columns]
-    return out.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in lists})
+    numbers = session_bounds(marked).join(delay_statistics(marked), "session")
+    given = {name: column for name, column in {**LISTS, **NON_EMPTY_LISTS, "_source": "log_source"}.items() if column in events.columns}
+    empty = lambda name, column: F.coalesce(F.col(column).cast("string"), F.lit("")) if name in LISTS else F.col(column).cast("string")
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), empty(name, column).alias("v")) for name, column in given.items()))
+    rows = marked.select("session", "timestamp", "id", F.explode(pairs).alias("p")).select("session", "timestamp", "id", "p.*")
+    rows = rows.where(F.col("name").isin(*LISTS) | (F.col("v") != ""))
+    firsts = rows.groupBy("session", "name", "v").agg(F.min(F.struct("timestamp", "id")).alias("at"), F.count("*").alias("n"))
+    gathered = firsts.groupBy("session").agg(F.collect_list(F.struct("name", "at", "v", "n")).alias("_all"))
+    of = lambda name: F.filter("_all", lambda x: x["name"] == name)
+    ordered = lambda name: F.transform(F.array_sort(F.transform(of(name), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
+    source = F.coalesce(F.array_min(F.transform(of("_source"), lambda x: F.struct(-x["n"], x["v"].alias("v"))))["v"], F.lit(""))
+    lists = gathered.select("session", source.alias("log_source"), *(ordered(name).alias(name) for name in given if name != "_source"))
+    return numbers.join(lists, "session")
