@@ -41,15 +41,15 @@ SUSPICIOUS = [r"curl|wget|chmod|bash|python|nc |ncat", r"xmrig|miner|botnet|drop
 
 def flag(text: Column, pattern: str, case: bool = False) -> Column:
     """1 if ``pattern`` is found, else 0; a dot stops at line feeds only."""
-    return F.coalesce(text.rlike(("(?ud)" if case else "(?iud)") + pattern), F.lit(False)).cast("int")
+    return F.coalesce(text.rlike(("(?Ud)" if case else "(?iUd)") + pattern), F.lit(False)).cast("int")
 
 
 def leaks(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?iud)" + "|".join(LEAKAGE)), F.lit(False))
+    return F.coalesce(text.rlike("(?iUd)" + "|".join(LEAKAGE)), F.lit(False))
 
 
 def suspicious(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?iud)" + "|".join(SUSPICIOUS)), F.lit(False))
+    return F.coalesce(text.rlike("(?iUd)" + "|".join(SUSPICIOUS)), F.lit(False))
 
 
 def contains(text: Column, part: str) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql.functions import udtf
 from ..operators.corpus import turn_pairs
 
 #: Fixed values of the format: a header of six little-endian 32-bit numbers, operations and directions.
-HEADER = struct.Struct("<IIIIII")
+HEADER = "<IIIIII"
+SIZE = struct.calcsize(HEADER)
 OPEN, CLOSE, DATA = 1, 2, 3
 OUTPUT, INPUT = 2, 3
 
@@ -22,9 +23,9 @@ class DecodeRecords:
 
     def eval(self, content: bytes) -> Iterator[tuple]:
         at, seq = 0, 0
-        while content is not None and at + HEADER.size <= len(content):
-            op, _, size, direction, sec, usec = HEADER.unpack_from(content, at)
-            at += HEADER.size
+        while content is not None and at + SIZE <= len(content):
+            op, _, size, direction, sec, usec = struct.unpack_from(HEADER, content, at)
+            at += SIZE
             if op not in (OPEN, CLOSE, DATA) or at + size > len(content):
                 return
             yield seq, op, direction, sec, usec, bytes(content[at : at + size]).decode("utf-8", "replace")
