@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import net, text as T
-from ..operators import corpus, evaluation, features, labels, metrics, mlprep, sessions, soc
+from ..operators import corpus, evaluation, features, labels, metrics, mlprep, normalize, sessions, soc
 from .driver_log import LOG_SQL, event_log
 
 GAP = 7200
@@ -473,6 +473,119 @@ def vector_cosine(spark, sf_dir):
     return e.crossJoin(F.broadcast(one)).select("vec_id", _r(evaluation.cosine(F.col("embedding"), F.col("q")), "cosine", 5))  # one row
 
 
+# --- raw records
+
+#: Events as the SSH sensor would write them.
+RAW_IDS = {"ssh_command": "cowrie.command.input", "ssh_login_failed": "cowrie.login.failed", "ssh_login_success": "cowrie.login.success", "ssh_file_downloaded": "cowrie.session.file_download"}
+
+
+def _raw(spark, sf_dir):
+    names = F.create_map(*(F.lit(x) for kv in RAW_IDS.items() for x in kv))
+    log = event_log(spark, sf_dir)
+    fields = F.struct(
+        F.coalesce(names[F.col("event_type")], F.lit("cowrie.other.thing")).alias("eventid"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.when(F.col("id") % 7 != 0, F.col("src_ip")).alias("src_ip"),
+        F.when(F.col("id") % 14 == 0, F.col("src_ip")).alias("peer_ip"), F.col("dest_port").alias("dst_port"), F.col("session_id").alias("session"), "username", "password", F.col("request_data").alias("input"), F.col("id").cast("string").alias("message"),
+    )
+    return log.select(F.when(F.col("id") % 50 == 0, "no json").otherwise(F.to_json(fields)).alias("value"))
+
+
+@query("""SELECT CASE event_type WHEN 'http_request' THEN 'unknown' ELSE event_type END AS event_type, CASE WHEN id % 7 <> 0 OR id % 14 = 0 THEN src_ip END AS src_ip, CASE WHEN dest_port = 0 THEN 22 ELSE dest_port END AS dest_port, 'ssh' AS protocol, session_id, username, password,
+ coalesce(request_data, id::VARCHAR) AS request_data, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS time FROM log WHERE id % 50 <> 0""")
+def normalize_ssh_events(spark, sf_dir):
+    e = normalize.normalize_ssh(_raw(spark, sf_dir))
+    return e.select("event_type", "src_ip", "dest_port", "protocol", "session_id", "username", "password", "request_data", F.date_format(F.to_timestamp_ntz(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+
+
+@query("SELECT CASE WHEN id % 7 <> 0 OR id % 14 = 0 THEN '' ELSE 'src_ip' END AS missing_field, count(*) AS cnt FROM log WHERE id % 50 <> 0 GROUP BY 1")
+def validation_counts(spark, sf_dir):
+    e = normalize.normalize_ssh(_raw(spark, sf_dir))
+    return e.groupBy(F.coalesce(normalize.missing_field(e), F.lit("")).alias("missing_field")).agg(F.count("*").alias("cnt"))
+
+
+IDS_SQL = "SELECT id::VARCHAR AS session_id, CASE WHEN id % 3 = 0 THEN 'h.example' ELSE '' END || CASE WHEN http_uri IS NULL THEN '' ELSE http_uri END AS uri, severity FROM log WHERE id % 5 <> 0"
+
+
+@query(f"SELECT session_id, nullif(uri, '') AS http_uri, severity FROM ({IDS_SQL})")
+def normalize_ids_events(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    http = F.struct(F.when(F.col("id") % 3 == 0, "h.example").alias("hostname"), F.col("http_uri").alias("url"))
+    kind = F.when(F.col("id") % 5 == 0, "stats").otherwise("flow")
+    raw = log.select(F.to_json(F.struct(kind.alias("event_type"), F.col("id").alias("flow_id"), http.alias("http"), F.struct(F.lit("x").alias("signature"), "severity").alias("alert"))).alias("value"))
+    return normalize.normalize_ids(raw).select("session_id", "http_uri", "severity")
+
+
+@query()
+def terminal_pairs(spark, sf_dir):
+    """Conversations as binary terminal recordings, decoded and paired again."""
+    from ..sources import terminal
+
+    word = lambda n: F.concat(*(F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)))
+    side = F.when(F.col("role") == "user", terminal.INPUT).otherwise(terminal.OUTPUT)
+    raw = F.encode("text", "UTF-8")
+    head = F.concat(word(F.lit(terminal.DATA)), word(F.lit(0)), word(F.octet_length(raw)), word(side), word(F.lit(0)), word(F.lit(0)))
+    turns = _t(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", F.concat(head, F.hex(raw)).alias("h"))
+    content = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "h"))), lambda x: x["h"]), ""))
+    return terminal.pairs(turns.groupBy("conv_id").agg(content.alias("content")), "conv_id")
+
+
+# --- models and streams: no SQL
+
+
+def _learnable(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    symbols = F.length(F.regexp_replace("text", r"[^#*$%&|]", "")) / F.greatest(F.length("text"), F.lit(1))
+    capitals = F.length(F.regexp_replace("text", r"[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
+    lines = F.size(F.split("text", "\n"))
+    return d.select("doc_id", "quality", "toxic", F.col("n_chars").cast("double").alias("n_chars"), symbols.alias("symbols"), capitals.alias("capitals"), lines.cast("double").alias("lines"))
+
+
+MODEL_FEATURES = ["n_chars", "symbols", "capitals", "lines"]
+
+
+@query()
+def train_models(spark, sf_dir):
+    from ..operators import train
+
+    return train.evaluate(mlprep.stratified_split(_learnable(spark, sf_dir), "quality", "doc_id"), MODEL_FEATURES, ["quality", "toxic"], ["lr", "rf", "gbt"], rounds=10)
+
+
+@query()
+def cross_validation(spark, sf_dir):
+    from ..operators import train
+
+    return train.cross_validate(_learnable(spark, sf_dir), MODEL_FEATURES, "quality", "doc_id", "rf", folds=5, rounds=10)
+
+
+@query()
+def isolation_forest(spark, sf_dir):
+    from ..operators import anomaly
+
+    rows = _learnable(spark, sf_dir).withColumn("label", 1 - F.col("quality"))
+    forest = anomaly.fit(rows.where("label = 0"), MODEL_FEATURES, "doc_id", trees=100)
+    scores = anomaly.score(rows, forest, MODEL_FEATURES)
+    return metrics.anomaly_summary(anomaly.flagged(scores.where("label = 0"), scores))
+
+
+@query()
+def stream_sessions(spark, sf_dir):
+    """Gap sessions of the event files as a stream; those that the watermark has closed."""
+    import uuid
+
+    from ..streaming import events as streams
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    sessions_ = streams.gap_sessions(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), keys=("user_id",), ts="ts", gap="2 hours")
+    sessions_.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sessions_.schema).parquet(f"{out}/rows").select("user_id", _time("start_time"), _time("end_time"), "event_count")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sessions look scripted: sessions, timing, automation profile, the busiest first."""
     return _automation(spark, sf_dir).select("session", "event_count", "automation_score", "automation_likelihood").orderBy(F.col("event_count").desc(), "session").limit(100)
