@@ -580,7 +580,7 @@ def stream_sessions(spark, sf_dir):
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     out = f"{folder}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     sessions_ = streams.gap_sessions(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), keys=("user_id",), ts="ts", gap="2 hours")
     sessions_.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(sessions_.schema).parquet(f"{out}/rows").select("user_id", _time("start_time"), _time("end_time"), "event_count")
