@@ -73,13 +73,31 @@ def delay_statistics(sessions: DataFrame, ts: str = "timestamp", order: str = "i
 
 
 def build_sessions(events: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataFrame:
-    """One row for each session: bounds, source, ordered distinct lists and delays.
+    """One row for each gap session: bounds, source, ordered distinct lists and delays.
 
     The events are read in two branches: one for bounds and delays, one that makes the values of all lists distinct at once.
     """
     marked = sessionize(events, gap_seconds=gap_seconds)
     numbers = session_bounds(marked).join(delay_statistics(marked), "session")
-    given = {name: column for name, column in {**LISTS, **NON_EMPTY_LISTS, "_source": "log_source"}.items() if column in events.columns}
+    return numbers.join(session_lists(marked), "session")
+
+
+def sensor_sessions(events: DataFrame, session_id: str | None = None) -> DataFrame:
+    """The same by the sensors' own session ids, all or one; delays are those between first uses of commands."""
+    rows = events.where("session_id <> ''" if session_id is None else F.col("session_id") == session_id).where("timestamp is not null")
+    rows = rows.withColumn("session", F.col("session_id"))
+    at = F.struct("timestamp", "id")
+    firsts = rows.where("request_data <> ''").groupBy("session", "request_data").agg(F.min(at).alias("at")).select("session", "at.timestamp", "at.id")
+    before = F.lag("timestamp").over(W.partitionBy("session").orderBy("timestamp", "id"))
+    timed = firsts.withColumn("delay", F.floor(F.timestamp_diff("MICROSECOND", before, F.col("timestamp")) / 1000) / 1000.0)
+    ends = rows.groupBy("session").agg(F.min_by("src_ip", at).alias("src_ip"), F.min_by("dest_ip", at).alias("dest_ip"))
+    numbers = session_bounds(rows, ()).join(ends, "session").join(delay_statistics(timed), "session", "left")
+    return numbers.na.fill(0).join(session_lists(rows), "session")
+
+
+def session_lists(marked: DataFrame) -> DataFrame:
+    """``session``, its most frequent source and its ordered distinct lists."""
+    given = {name: column for name, column in {**LISTS, **NON_EMPTY_LISTS, "_source": "log_source"}.items() if column in marked.columns}
     empty = lambda name, column: F.coalesce(F.col(column).cast("string"), F.lit("")) if name in LISTS else F.col(column).cast("string")
     pairs = F.array(*(F.struct(F.lit(name).alias("name"), empty(name, column).alias("v")) for name, column in given.items()))
     rows = marked.select("session", "timestamp", "id", F.explode(pairs).alias("p")).select("session", "timestamp", "id", "p.*")
@@ -90,4 +108,4 @@ def build_sessions(events: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataF
     ordered = lambda name: F.transform(F.array_sort(F.transform(of(name), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
     source = F.coalesce(F.array_min(F.transform(of("_source"), lambda x: F.struct(-x["n"], x["v"].alias("v"))))["v"], F.lit(""))
     lists = gathered.select("session", source.alias("log_source"), *(ordered(name).alias(name) for name in given if name != "_source"))
-    return numbers.join(lists, "session")
+    return lists

@@ -60,6 +60,14 @@ def test_session_intelligence(spark):
     assert r.avg_inter_cmd_delay == pytest.approx(11 / 7) and r.log_source == "cowrie"
 
 
+def test_sensor_sessions(spark):
+    rows = [_event(1, 0, request_data="a"), _event(2, 4000, request_data="b"), _event(3, 4001, request_data="a"), _event(4, 5000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("session_id", F.lit("x"))
+    r = features.session_features(sessions.sensor_sessions(df, "x")).first()
+    assert (r.event_count, r.commands, r.max_inter_cmd_delay, r.cmd_count, r.src_ip) == (4, ["a", "b", ""], 4000.0, 2, "1.1.1.1")
+    assert sessions.sensor_sessions(df, "y").count() == 0
+
+
 def test_probe_and_score(spark):
     r = labels.attack_labels(spark.createDataFrame([(1, 0)], "unique_dest_ports int, cmd_count int")).first()
     assert [r[n] for n in LABELS] == [0] * 10 + [1] and r.attack_labels == "network_probe" and r.attack_label_count == 1
