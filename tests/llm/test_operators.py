@@ -387,6 +387,11 @@ def test_html_text(spark, data):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_names_and_unseen_parts():
+    page = html_text.Page("<div class='page-header'>no</div><article><div class='entry-header'><h1>Kept</h1></div><p hidden>no</p><p style='display: none'>no</p><p data-x='hidden'>yes</p><div class='cookie-notice'>no</div></article>")
+    assert page.main_text(frozenset()) == "Kept\nyes"
+
+
 def test_template_text_is_left_out(spark):
     rows_ = [(k, f"http://t.example/{k}", f"<div><p>Welcome to our pages</p><p>Story {k} is about number {k * k}.</p><p>All about us</p></div>") for k in range(30)]
     got = html_text.main_texts(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect()
