@@ -249,7 +249,8 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = settled(near_duplicates(docs, **options), "near-duplicates")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    # The ids to drop grow with the documents: they are never broadcast, and the plan is the same at every size.
+    kept = docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_drop"), "left_anti")
     ids = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different")).first()
     if ids.n != ids.different:
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
