@@ -31,29 +31,43 @@ from .word_ids import encoded_slices, word_encoder
 FREE, SENTENCE, INSIDE = 0, 1, 2
 
 
+def _power_pairs(places: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """(later, earlier) indexes of all places a power of two below ``width`` apart, by the later, longest first."""
+    later, earlier = [], []
+    for p in reversed([1 << k for k in range(width.bit_length()) if 1 << k < width]):
+        at = np.searchsorted(places, places - p)
+        same = np.flatnonzero(places[at] == places - p)
+        later.append(same)
+        earlier.append(at[same])
+    j, i = np.concatenate(later), np.concatenate(earlier)
+    order = np.argsort(j, kind="stable")
+    return list(zip(j[order].tolist(), i[order].tolist(), strict=True))
+
+
 def best_cuts(places: list[int], kinds: list[int], width: int, penalty: tuple[int, int, int]) -> list[int]:
     """Indexes of the cuts of least cost, from 0 to the last place. ``places`` ascend, with no gap over ``width``."""
     n = len(places)
     cost, back = [0] * n, [0] * n
     queue: deque[int] = deque([0])  # of places in reach, by rising cost + place
-    at = {places[0]: 0}
-    powers = [1 << k for k in range(width.bit_length()) if 1 << k < width]
+    pairs = _power_pairs(np.array(places), width)
+    pairs.append((n, 0))
+    pair, (later, earlier) = 1, pairs[0]
     for j in range(1, n):
         x = places[j]
         while places[queue[0]] < x - width:
             queue.popleft()
         i = queue[0]
         best = cost[i] + width - (x - places[i])
-        for p in powers:
-            k = at.get(x - p)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+        while later == j:
+            if cost[earlier] < best:
+                best, i = cost[earlier], earlier
+            later, earlier = pairs[pair]
+            pair += 1
         cost[j], back[j] = best + penalty[kinds[j]], i
         key = cost[j] + x
         while queue and cost[queue[-1]] + places[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
-        at[x] = j
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])

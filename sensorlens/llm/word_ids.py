@@ -30,21 +30,50 @@ class WordEncoder:
         if steps != ["NFC", "Replace", "Lowercase"] or not drops or any(a["lstrip"] or a["rstrip"] for a in plan["added_tokens"]):
             raise ValueError("this tokenizer may treat white space as part of a token")
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        self.added = [a["content"].lower() for a in plan["added_tokens"]]
+        #: A special string parts the chunks of one call, since nothing merges across it.
+        self.parter = next((a["content"] for a in plan["added_tokens"] if a["special"]), None)
         self.memory: dict[str, bytes] = {"": b""}
 
+    def _lowered(self, text: str) -> tuple[str, bool]:
+        """The text with A-Z lowered, as the tokenizer will do, and True; or, if that could make or break an added token, the text and False."""
+        low = text.encode().lower().decode()
+        return (text, False) if any(a in low for a in self.added) else (low, True)
+
+    def _encode_chunks(self, chunks: list[str], plain: bool) -> None:
+        """``plain``: no chunk holds an added token."""
+        given = chunks
+        if not self.parter:
+            chunks = []
+        elif not plain:
+            chunks = [c for c in given if not any(a in c.lower() for a in self.added)]
+        for c in set(given).difference(chunks) if len(chunks) < len(given) else ():
+            self.memory[c] = np.array(self.tok.encode(c, add_special_tokens=False).ids, self.dtype).tobytes()
+        groups = [chunks[at : at + 500] for at in range(0, len(chunks), 500)]
+        width = self.dtype.itemsize
+        for at in range(0, len(groups), 50):
+            got = self.tok.encode_batch_fast([self.parter.join(g) for g in groups[at : at + 50]], add_special_tokens=False)
+            for group, x in zip(groups[at : at + 50], got, strict=True):
+                ids = np.array(x.ids, self.dtype)
+                raw, start = ids.tobytes(), 0
+                cuts = (width * np.flatnonzero(ids == self.tok.token_to_id(self.parter))).tolist()
+                for chunk, end in zip(group, [*cuts, len(raw)], strict=True):
+                    self.memory[chunk] = raw[start:end]
+                    start = end + width
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        lowered = [self._lowered(t or "") for t in texts]
+        plain = all(p for _, p in lowered)
+        lists = [t.replace("\n", " ").split(" ") for t, _ in lowered]
         if len(self.memory) > REMEMBERED:
             self.memory = {"": b""}
-        found, out = self.memory, []
-        new = list(set().union(*lists).difference(found)) if lists else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            found.update(zip(part, (np.array(x.ids, self.dtype).tobytes() for x in got), strict=True))
-        for words in lists:
-            out.append(np.frombuffer(b"".join(map(found.__getitem__, words)), self.dtype))
-        return out
+        found = self.memory
+        new = set().union(*lists).difference(found) if lists else set()
+        # A mark after a letter (lowered: I with dot becomes two) is a token of its own, so that words met before need no call with it.
+        marked = [w for w in new if len(w) > 1 and w[-1] in ".,!?" and w[-2].lower().isalpha()]
+        self._encode_chunks(list(new.difference(marked).union((w[:-1] for w in marked), (w[-1] for w in marked)).difference(found)), plain)
+        found.update((w, found[w[:-1]] + found[w[-1]]) for w in marked)
+        return [np.frombuffer(b"".join(map(found.__getitem__, words)), self.dtype) for words in lists]
 
 
 @lru_cache(maxsize=2)
@@ -52,7 +81,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded_slices(encoder: WordEncoder, texts: list[str | None], at_once: int = 8_000_000):
+def encoded_slices(encoder: WordEncoder, texts: list[str | None], at_once: int = 4_000_000):
     """(first row, id arrays) of runs of texts with about ``at_once`` characters, so that memory stays bounded."""
     start, size = 0, 0
     for i, t in enumerate(texts):
