@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import settled
+from .shingles import perhaps_in, set_links, with_digests
 
 SEED = 42
 LINK_BITS = 2
@@ -243,15 +244,22 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns.
+    """One row of ``docs``, with all its columns, for each group of near copies.
 
-    Of rows with equal ``doc_id`` one stays; rows without ``doc_id`` all stay, as nothing tells them apart.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what hangs together
+    by them; texts without a word are one group. The row with the least ``doc_id`` stays, of equal ones the first written.
+    Rows without ``doc_id`` all stay.
     """
-    found = settled(near_duplicates(docs, **options), "near-duplicates")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    # The ids to drop grow with the documents: they are never broadcast, and the plan is the same at every size.
-    kept = docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_drop"), "left_anti")
-    ids = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different")).first()
-    if ids.n != ids.different:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    rows = settled(with_digests(docs.withColumn("_near_row", F.monotonically_increasing_id())), "rows")
+    found = settled(components(set_links(rows, **options)), "components")
+    marked = rows.select("_near_row", "doc_id", "_near_digest").join(found.hint("merge"), F.col("_near_digest") == F.col("node"), "left")
+    marked = marked.select("_near_row", F.coalesce("root", "_near_digest").alias("root"), F.col("doc_id").isNull().alias("without_id"), "doc_id")
+    marked = settled(marked, "marked")
+    groups = marked.where("not without_id").groupBy("root").agg(F.min(F.struct("doc_id", "_near_row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first._near_row")
+    drop = marked.join(groups.withColumnRenamed("_near_row", "_first").hint("merge"), "root").where("_near_row <> _first and not without_id").select("_near_row")
+    # The rows to drop grow with the documents: they are never broadcast, and the plan is the same at every size. A small
+    # map of their hashes lets the rows pass that are surely not among them.
+    drop = settled(drop, "drop")
+    perhaps = perhaps_in(drop)("_near_row")
+    asked = rows.where(perhaps).join(drop.hint("merge"), "_near_row", "left_anti").select(*rows.columns)
+    return rows.where(~perhaps).unionByName(asked).select(*docs.columns)
