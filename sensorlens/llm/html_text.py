@@ -29,45 +29,53 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements without content, elements that stand inside a line, and elements that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 APART = frozenset("head nav header footer aside form menu button select option svg dialog object audio video canvas".split())
 MAIN = frozenset(["article", "main"])
-#: Parts of class, id or role names that tell the same.
+#: Whole words of class, id or role that tell the same, alone or with parts before or after them (cookie-notice, sidebar-left).
+#: Words that say what a page has, lacks or is filed under (has-sidebar, category-social) tell nothing of the element.
+_OTHER = r"(?!(?:has|no|not|is|with|without|category|tag|type|format|status|post|hentry|term|topic)[-_])"
+_AFTER = r"(?:[-_][\w-]*)?"
 APART_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|side|widget\w*|cookies?|consent|notices?|alert|popup|modal"
-    r"|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|search\w*|pagination|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    rf"{_OTHER}(?:side|(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|widget\w*|cookies?|consent|notices?|alert|popup|modal"
+    rf"|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|search\w*|pagination|complementary|contentinfo|navigation){_AFTER})",
     re.I,
 )
 #: The same outside main text; inside, a header holds a title.
-HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+HEADER_NAME = re.compile(rf"{_OTHER}(?:[a-z0-9]+[-_]+)*(?:header|masthead){_AFTER}", re.I)
+NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 SEED = 11
 
 
 class Page:
-    """``elements``: token of each element -> count. ``blocks``: (token, text, in main, apart) in page order."""
+    """``elements``: token of each element -> count. ``blocks``: (token, text, in main, apart, around, in form) in page order.
 
-    __slots__ = ("blocks", "elements", "has_main")
+    ``around`` is what names or a form say of the outermost article or main and what it stands in. They may set a second
+    article apart, but not the page's only one.
+    """
+
+    __slots__ = ("blocks", "clear_main", "elements", "has_main")
 
     def __init__(self, html: str):
         import xxhash
 
         mix = xxhash.xxh64_intdigest
         self.elements: Counter[int] = Counter()
-        self.blocks: list[tuple[int, str, bool, bool]] = []
-        self.has_main = False
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, in main, apart
+        self.blocks: list[tuple[int, str, bool, bool, bool, bool]] = []
+        self.has_main = self.clear_main = False
+        # name, path, in main, apart by kind or unseen, apart by name, around, in form
+        stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
         held: list[str] = []
 
         def flush() -> None:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                _, path, main, apart = stack[-1]
-                self.blocks.append((mix(f"{path}#{text}", SEED), text, main, apart))
+                _, path, main, apart, by_name, around, form = stack[-1]
+                self.blocks.append((mix(f"{path}#{text}", SEED), text, main, apart or by_name, around, form))
 
         def text_to(end: int) -> None:
             if at < end:
@@ -94,31 +102,37 @@ class Page:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), 0)
                 if depth and stack[depth][0] == "p" and name not in VOID:
                     del stack[depth:]
-            _, path, main, apart = stack[-1]
-            named = ""
-            if m[4] and "=" in m[4]:
-                named = " ".join(a or b or c for a, b, c in NAME.findall(m[4]))
+            _, path, main, apart, by_name, around, form = stack[-1]
+            given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[4])} if m[4] else {}
+            named = " ".join(given[k] for k in ("class", "id", "role") if given.get(k))
             path = mix(f"{path}>{name}.{named}", SEED)
             self.elements[path] += 1
             if name in VOID or m[4].endswith("/") and name in ("path", "use"):
                 continue
-            here = main or name in MAIN or bool(named) and "main" in named.lower().split()
+            words = named.lower().split()
+            here = main or name in MAIN or "main" in words
             self.has_main |= here
-            if not apart and name not in ("html", "body"):
-                apart = name in APART and not (main and name == "header") or bool(named) and bool(APART_NAME.search(named) or not main and HEADER_NAME.search(named))
-                apart = apart or bool(m[4]) and bool(UNSEEN.search(m[4]))
-            stack.append((name, path, here, apart))
+            if name not in ("html", "body"):
+                apart = apart or name in APART and name != "form" and not (main and name == "header") or "hidden" in given
+                apart = apart or given.get("aria-hidden", "").lower() == "true" or bool(NONE_SHOWN.search(given.get("style", "")))
+                by_name = by_name or any(APART_NAME.fullmatch(w) or not here and HEADER_NAME.fullmatch(w) for w in words)
+                if name == "form":
+                    by_name, form = by_name or main, True
+            if here and not main:
+                by_name, around, form = False, by_name or form, False
+                self.clear_main |= not (apart or around)
+            stack.append((name, path, here, apart, by_name, around, form))
         text_to(len(html))
         flush()
 
     def main_text(self, template: frozenset[int]) -> str:
-        kept = []
-        for token, text, main, apart in self.blocks:
-            if apart or (self.has_main and not main):
+        kept, forms = [], []
+        for token, text, main, apart, around, form in self.blocks:
+            if apart or (around and self.clear_main) or (self.has_main and not main):
                 continue
             if main or token not in template:
-                kept.append(text)
-        return "\n".join(kept)
+                (forms if form else kept).append(text)
+        return "\n".join(kept or forms)  # a form around the whole page is its text
 
 
 def _signed(x: int) -> int:
