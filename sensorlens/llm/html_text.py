@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Tokens of a page are its elements, by their path, and its text blocks, by path and words. Over the pages of a host each
-token has an occurrence vector: how often it stands in each page. Tokens with equal vectors form an equivalence class. A
+token has an occurrence vector: how often it stands in each different page. Tokens with equal vectors form an equivalence class. A
 class is valid if it has at least two tokens and enough pages; the classes, nested by the paths of their elements, are the
 host's template, and what a page holds between template tokens are its slots. Blocks in slots are extracted, except in
 elements that by their kind or name are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
@@ -147,20 +147,24 @@ def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.6)
     """``host, template``: the tokens of the valid equivalence classes of each host with at least ``least_pages`` pages."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [])
-            for row, name, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "html")), strict=True):
+            for name, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
                 page = Page(text or "")
+                row = _signed(xxhash.xxh64_intdigest(b"".join(b[0].to_bytes(8) for b in page.blocks), SEED))
                 found = page.elements + Counter(b[0] for b in page.blocks)
                 found[0] = 1  # the page itself
                 for token, n in found.items():
                     for column, value in zip(rows, (row, name, _signed(token), n), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["row_id", "host", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page", "host", "token", "n"])
 
-    numbered = pages.select(F.monotonically_increasing_id().alias("row_id"), host().alias("host"), "html")
-    counts = numbered.mapInArrow(tokens, "row_id long, host string, token long, n int")
-    vectors = counts.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("row_id", "n")).alias("mark"))
+    counts = pages.select(host().alias("host"), "html").mapInArrow(tokens, "page long, host string, token long, n int")
+    # Copies of a page, by its blocks, count once: what they share is no template unless other pages have it as well.
+    counts = counts.groupBy("host", "page", "token").agg(F.max("n").alias("n"))
+    vectors = counts.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("mark"))
     vectors = settled(vectors.where(F.col("pages") >= least_pages), "vectors")
     sizes = vectors.where("token = 0").select("host", F.col("pages").alias("all_pages"))
     frequent = vectors.where("token <> 0").join(sizes, "host").where(F.col("pages") >= least_share * F.col("all_pages"))

@@ -20,3 +20,13 @@ from sensorlens.llm import common, html_text
 )
 def test_names_and_attributes(html):
     assert html_text.Page(html).main_text(frozenset()) == "kept"
+
+
+def test_copies_are_no_template(spark):
+    common.ship_package(spark)
+    story = "<p>Home of all stories</p><p>The one story.</p><p>It ends here.</p>"
+    rows = [(k, "http://c.example/", f"<div>{story}</div>") for k in range(20)]
+    rows += [(k, "http://c.example/", f"<div><p>Home of all stories</p><p>Other story {k}.</p><p>Its end {k}.</p></div>") for k in range(20, 30)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("The one story.\nIt ends here." in got[k] for k in range(20))
+    assert all(f"Other story {k}.\nIts end {k}." in got[k] for k in range(20, 30))
