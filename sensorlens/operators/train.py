@@ -15,7 +15,7 @@ from . import metrics, mlprep
 #: Estimators by name; more can be added.
 FACTORIES: dict[str, Callable] = {
     "lr": lambda n, rounds: LogisticRegression(weightCol="weight", labelCol="label", regParam=1.0 / max(1, n), standardization=False, maxIter=1000),
-    "rf": lambda n, rounds: RandomForestClassifier(weightCol="weight", labelCol="label", numTrees=rounds, maxDepth=min(30, 12), seed=42),
+    "rf": lambda n, rounds: RandomForestClassifier(weightCol="weight", labelCol="label", numTrees=rounds, maxDepth=30, seed=42),
     "gbt": lambda n, rounds: GBTClassifier(weightCol="weight", labelCol="label", maxIter=rounds, maxDepth=6, stepSize=0.1, seed=42),
 }
 LEAST_POSITIVES = 50

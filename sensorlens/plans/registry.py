@@ -546,14 +546,14 @@ MODEL_FEATURES = ["n_chars", "symbols", "capitals", "lines"]
 def train_models(spark, sf_dir):
     from ..operators import train
 
-    return train.evaluate(mlprep.stratified_split(_learnable(spark, sf_dir), "quality", "doc_id"), MODEL_FEATURES, ["quality", "toxic"], ["lr", "rf", "gbt"], rounds=10)
+    return train.evaluate(mlprep.stratified_split(_learnable(spark, sf_dir), "quality", "doc_id"), MODEL_FEATURES, ["quality", "toxic"], ["lr", "rf", "gbt"])
 
 
 @query()
 def cross_validation(spark, sf_dir):
     from ..operators import train
 
-    return train.cross_validate(_learnable(spark, sf_dir), MODEL_FEATURES, "quality", "doc_id", "rf", folds=5, rounds=10)
+    return train.cross_validate(_learnable(spark, sf_dir), MODEL_FEATURES, "quality", "doc_id", "rf", folds=5)
 
 
 @query()
@@ -561,7 +561,7 @@ def isolation_forest(spark, sf_dir):
     from ..operators import anomaly
 
     rows = _learnable(spark, sf_dir).withColumn("label", 1 - F.col("quality"))
-    forest = anomaly.fit(rows.where("label = 0"), MODEL_FEATURES, "doc_id", trees=100)
+    forest = anomaly.fit(rows.where("label = 0"), MODEL_FEATURES, "doc_id")
     scores = anomaly.score(rows, forest, MODEL_FEATURES)
     return metrics.anomaly_summary(anomaly.flagged(scores.where("label = 0"), scores))
 
