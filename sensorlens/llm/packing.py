@@ -165,7 +165,7 @@ def packed(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         packer = Packer(width, penalty, sentence_ends(encoder), TaskContext.get().partitionId() << 33, block, stride)
-        end, rows = np.array([end_id], encoder.dtype), []
+        rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -173,10 +173,10 @@ def packed(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first, group in encoded_slices(encoder, texts):
-                for key, ids in zip(keys[first : first + len(group)], group, strict=True):
-                    rows.extend(packer.add(key, np.concatenate([ids, end])))
+            keys = batch.column("doc_id").to_pylist()
+            for first, ids, before in encoded_slices(encoder, batch.column("text"), end_id):
+                for key, a, b in zip(keys[first : first + len(before) - 1], before[:-1].tolist(), before[1:].tolist(), strict=True):
+                    rows.extend(packer.add(key, ids[a:b]))
                 yield out()
         rows.extend(packer.solve(last=True))
         yield out()

@@ -37,7 +37,7 @@ class StoreError(ValueError):
 
 @lru_cache(maxsize=1)
 def _gear(size: int) -> np.ndarray:
-    return np.random.default_rng(20240229).integers(0, 1 << 63, size, np.uint64)
+    return np.random.default_rng(20240229).integers(0, 1 << 32, size, np.uint32)
 
 
 def cut_hints(ids: np.ndarray, size: int) -> np.ndarray:
@@ -45,9 +45,9 @@ def cut_hints(ids: np.ndarray, size: int) -> np.ndarray:
     roll, k = _gear(size)[ids], 1
     while k < WINDOW:  # a hash over k ids and the one over the k before give that over 2k
         wider = roll.copy()
-        wider[k:] += roll[:-k] << np.uint64(k)
+        wider[k:] += roll[:-k] << np.uint32(k)
         roll, k = wider, 2 * k
-    return np.flatnonzero((roll >> np.uint64(24)) % np.uint64(MEAN) == 0) + 1
+    return np.flatnonzero((roll & np.uint32((MEAN - 1) << WINDOW)) == 0) + 1  # all of the window has a say in these bits
 
 
 def chunk_ends(hints: list[int], n: int) -> list[int]:
@@ -81,16 +81,15 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, fanout
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        size, end = encoder.tok.get_vocab_size(True), np.array([end_id], encoder.dtype)
+        size = encoder.tok.get_vocab_size(True)
         sent: set[bytes] = set()
 
         for batch in batches:
-            rows, keys, texts = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first, group in encoded_slices(encoder, texts):
+            rows, keys = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
+            for first, stream, before in encoded_slices(encoder, batch.column("text"), end_id):
                 made: dict[bytes, bytes] = {}
                 recipes = []
-                stream = np.concatenate([part for ids in group for part in (ids, end)])
-                stops = np.cumsum([len(ids) + 1 for ids in group])
+                stops = before[1:]
                 hints = cut_hints(stream, size)
                 marks = np.searchsorted(hints, stops, side="right").tolist()
                 begin = mark = 0

@@ -27,6 +27,7 @@ def odd_rows():
     texts = [
         None, "", " \t\n ", "One", "two words", "<|endoftext|> inside <|startoftext|>.", "Émile, l'été! ça va? İstanbul ΣΑΣ.", "a b c a b c\na b c\na b c\nx", long, "no letters: 123 456 !!",
         "the cat sat on the mat and the dog sat on the log " * 8, "THE CAT sat on the mat and the dog sat on the log " * 8, "x" * 5000, "tab\tand\x0bvertical\x1cfile \U0001f600 emoji", "$$$ ### %%% junk *** &&& " * 20,
+        "पहाड़, है। বিষয়, আমি שלוםבּ! གྷ. J̌ Ḧ, É À×Ÿ don't l'été x́.",
     ]
     rows = [(k, t, None if k == 3 else "en", None if k % 5 == 4 else f"s{k % 3}", None, "r", "f", "z", "w", "h", "p", "t") for k, t in enumerate(texts)]
     return [*rows, rows[3], (None, "a text without id", "en", "s0", 1, *rows[0][5:]), (None, None, None, None, None, *rows[0][5:])]
@@ -82,11 +83,24 @@ def test_pretokens_agree_with_the_library_on_any_text(library):
 
 def test_word_ids_agree_with_the_library_on_any_text(library):
     import random
-
-    draw, encoder = random.Random(6), word_ids.WordEncoder(queries.tokenizer_path("word_bpe_49k.json"))
-    texts = ["".join(draw.choice("aA.,!?'sS tT́ͅéİΣß1<|>\n\t\x1c\xa0endoftext") for _ in range(draw.randrange(40))) for _ in range(5000)]
-    texts += ["<|endoftext|>.", "<|STARTOFTEXT|>", "é. x", ""]
-    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in library["word_bpe_49k"].encode_batch(texts, add_special_tokens=False)]
+    import unicodedata
+
+    import pyarrow as pa
+
+    path, draw = queries.tokenizer_path("word_bpe_49k.json"), random.Random(6)
+    texts = ["".join(draw.choice("aA.,!?'sS tT1-&é́̌ͅéÉÀ×÷ÿİΣß1<|>\n\t\x1c\xa0endoftext가각ㄱḦब़ּकबাড়གྷ") for _ in range(draw.randrange(40))) for _ in range(5000)]
+    texts += ["<|endoftext|>.", "<|STARTOFTEXT|>", "É <|endoftext|> J̌ x.", "é. x", "", None]
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    taken_apart = [c for c in points if unicodedata.normalize("NFC", c) != c or unicodedata.decomposition(c)]
+    texts += [f"a{c}." for c in points] + [f"{a}{c}{m}" for c in taken_apart for a in ("", "A") for m in ".,!?'"]
+    texts += [f"{chr(a)}{chr(c)}." for a in [*range(65, 91), *range(97, 123)] for c in range(0x300, 0x370)]
+    want = [x.ids for x in library["word_bpe_49k"].encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for encoder, step in ((word_ids.WordEncoder(path), 50_000), (word_ids.WordEncoder(path, remembered=300), 10_000)):  # with words forgotten
+        for at in range(0, len(texts), step):
+            ids, before = encoder.encode(pa.array(texts[at : at + step], pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == want[at : at + step]
+    ids, before = encoder.encode(pa.array(texts[:9], pa.string()).slice(3, 4))
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == want[3:7]
 
 
 def _ids(tok, text, end):
