@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -29,3 +32,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
+
+
+def test_rest_works_without_the_corpus_operators(tmp_path):
+    root = Path(__file__).parent.parent
+    for keep_pipeline in (False, True):
+        copy = tmp_path / f"copy{keep_pipeline}"
+        shutil.copytree(root / "sensorlens", copy / "sensorlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for name in ["__spark_entry__.py", *(["corpus_pipeline.py"] if keep_pipeline and (root / "corpus_pipeline.py").exists() else [])]:
+            shutil.copy(root / name, copy / name)
+        code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and set(e.oracle_sql()) <= set(e.queries()); assert not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": ""}, check=True, timeout=120)
