@@ -1,21 +1,27 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tokens of a page are its elements, by their path, and its text blocks, by path and words. Over the pages of a host each
-token has an occurrence vector: how often it stands in each different page. Tokens with equal vectors form an equivalence class. A
-class is valid if it has at least two tokens and enough pages; the classes, nested by the paths of their elements, are the
-host's template, and what a page holds between template tokens are its slots. Blocks in slots are extracted, except in
-elements that by their kind or name are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
-Where a page has an ``article`` or ``main``, the slots are those inside; there a block stays even if all pages repeat it.
+1. Tokens of a page are its elements, by their path, and its text blocks, by path and words. Over the different pages of a
+   host each token has an occurrence vector: how often it stands in each page. Tokens with equal vectors form an
+   equivalence class, if there are two or more and enough pages have them.
+2. A class is cut before each token that doesn't follow the same one of the class everywhere, so that what is left keeps
+   its order on every page, over and over again where it repeats. Such a part, of two or more tokens, is valid if it is
+   nested: no larger one cuts through it, and it lies in the same slot of the same one on every page. A slot is what lies
+   between two neighbours. Valid classes, nested, are the host's template.
+3. Text that is no token of the template lies in its slots. Where the template holds an ``article`` or ``main``, the slots
+   inside it are the main text, else all slots. Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts
+   or comments, as the kinds and names of the elements around them say, are left out. On hosts with too few different pages
+   for a template the page's own elements say where its slots are.
 
 Vectors are never gathered: a vector is known by the number of its pages, its sum and the XOR of a hash over (page, count),
-so a class is one grouping on (host, vector) with partial sums, however many pages a host has.
+so a class is one grouping on (host, vector) with partial sums, however many pages a host has. Order and nesting are told
+page by page, and partial aggregation leaves one row for each token or class of a task.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,45 +46,51 @@ MAIN = frozenset(["article", "main"])
 _OTHER = r"(?!(?:has|no|not|is|with|without|category|tag|type|format|status|post|hentry|term|topic)[-_])"
 _AFTER = r"(?:[-_][\w-]*)?"
 APART_NAME = re.compile(
-    rf"{_OTHER}(?:side|(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|widget\w*|cookies?|consent|notices?|alert|popup|modal"
+    rf"{_OTHER}(?:(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|widget\w*|cookies?|consent|notices?|alert|popup|modal"
     rf"|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|search\w*|pagination|complementary|contentinfo|navigation){_AFTER})",
     re.I,
 )
 #: The same outside main text; inside, a header holds a title.
 HEADER_NAME = re.compile(rf"{_OTHER}(?:[a-z0-9]+[-_]+)*(?:header|masthead){_AFTER}", re.I)
+#: Names that take an element inside a line out of its block.
+INLINE_NAME = re.compile(rf"{_OTHER}(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing){_AFTER}", re.I)
 NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+NUMBER = re.compile(r"\d+")
 SEED = 11
 
 
 class Page:
-    """``elements``: token of each element -> count. ``blocks``: (token, text, in main, apart, around, in form) in page order.
+    """``sequence``: tokens of elements and blocks in page order. ``blocks``: (token, text, container, apart, around, in form).
 
-    ``around`` is what names or a form say of the outermost article or main and what it stands in. They may set a second
-    article apart, but not the page's only one.
+    ``container`` is the token of the outermost article or main around the block, 0 outside. ``around`` is what names or a
+    form say of that container and what it stands in. They may set a second article apart, but not the page's only one.
     """
 
-    __slots__ = ("blocks", "clear_main", "elements", "has_main")
+    __slots__ = ("blocks", "clear", "containers", "sequence")
 
     def __init__(self, html: str):
         import xxhash
 
         mix = xxhash.xxh64_intdigest
-        self.elements: Counter[int] = Counter()
-        self.blocks: list[tuple[int, str, bool, bool, bool, bool]] = []
-        self.has_main = self.clear_main = False
-        # name, path, in main, apart by kind or unseen, apart by name, around, in form
-        stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
+        self.sequence: list[int] = []
+        self.blocks: list[tuple[int, str, int, bool, bool, bool]] = []
+        self.containers: list[int] = []
+        self.clear = False  # whether a container is neither apart nor around
+        # name, path, container, apart by kind or unseen, apart by name, around, in form, cut out of its line
+        stack: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = [("", 0, 0, False, False, False, False, False)]
         held: list[str] = []
 
         def flush() -> None:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                _, path, main, apart, by_name, around, form = stack[-1]
-                self.blocks.append((mix(f"{path}#{text}", SEED), text, main, apart or by_name, around, form))
+                _, path, main, apart, by_name, around, form, _ = next(s for s in reversed(stack) if s[0] not in INLINE)
+                token = mix(f"{path}#{text}", SEED)
+                self.sequence.append(token)
+                self.blocks.append((token, text, main, apart or by_name, around, form))
 
         def text_to(end: int) -> None:
-            if at < end:
+            if at < end and not stack[-1][7]:
                 piece = html[at:end]
                 held.append(entities.unescape(piece) if "&" in piece else piece)
 
@@ -102,36 +114,41 @@ class Page:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), 0)
                 if depth and stack[depth][0] == "p" and name not in VOID:
                     del stack[depth:]
-            _, path, main, apart, by_name, around, form = stack[-1]
+            _, path, main, apart, by_name, around, form, cut = stack[-1]
             given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[4])} if m[4] else {}
             named = " ".join(given[k] for k in ("class", "id", "role") if given.get(k))
-            path = mix(f"{path}>{name}.{named}", SEED)
-            self.elements[path] += 1
+            path = mix(f"{path}>{name}.{NUMBER.sub('', named)}", SEED)
+            self.sequence.append(path)
             if name in VOID or m[4].endswith("/") and name in ("path", "use"):
                 continue
             words = named.lower().split()
-            here = main or name in MAIN or "main" in words
-            self.has_main |= here
-            if name not in ("html", "body"):
-                apart = apart or name in APART and name != "form" and not (main and name == "header") or "hidden" in given
-                apart = apart or given.get("aria-hidden", "").lower() == "true" or bool(NONE_SHOWN.search(given.get("style", "")))
-                by_name = by_name or any(APART_NAME.fullmatch(w) or not here and HEADER_NAME.fullmatch(w) for w in words)
+            opens = not main and (name in MAIN or "main" in words)
+            unseen = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(NONE_SHOWN.search(given.get("style", "")))
+            if name in INLINE:
+                cut = cut or unseen or any(INLINE_NAME.fullmatch(w) for w in words)
+            elif name not in ("html", "body"):
+                apart = apart or unseen or cut or name in APART and name != "form" and not (main and name == "header")
+                by_name = by_name or any(APART_NAME.fullmatch(w) or not (main or opens) and HEADER_NAME.fullmatch(w) for w in words)
+                cut = False
                 if name == "form":
-                    by_name, form = by_name or main, True
-            if here and not main:
-                by_name, around, form = False, by_name or form, False
-                self.clear_main |= not (apart or around)
-            stack.append((name, path, here, apart, by_name, around, form))
+                    by_name, form = by_name or bool(main), True
+            if opens:
+                main, by_name, around, form = path, False, by_name or form, False
+                self.containers.append(path)
+                self.clear |= not (apart or around)
+            stack.append((name, path, main, apart, by_name, around, form, cut))
         text_to(len(html))
         flush()
 
-    def main_text(self, template: frozenset[int]) -> str:
+    def main_text(self, template: frozenset[int] | None) -> str:
+        """Text of the slots of ``template``; None: the host has none."""
         kept, forms = [], []
+        within = self.containers if not template else [c for c in self.containers if c in template]
+        only = frozenset(within or self.containers)
         for token, text, main, apart, around, form in self.blocks:
-            if apart or (around and self.clear_main) or (self.has_main and not main):
+            if apart or (around and self.clear) or (only and main not in only) or (template and token in template):
                 continue
-            if main or token not in template:
-                (forms if form else kept).append(text)
+            (forms if form else kept).append(text)
         return "\n".join(kept or forms)  # a form around the whole page is its text
 
 
@@ -143,41 +160,145 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.6) -> DataFrame:
-    """``host, template``: the tokens of the valid equivalence classes of each host with at least ``least_pages`` pages."""
+def token_table(pages: DataFrame) -> DataFrame:
+    """``host, page, tokens``: the tokens, in order, of each different page of a host. ``page`` is a hash of its blocks."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for name, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
+            marks, lists = [], []
+            for text in batch.column("html").to_pylist():
                 page = Page(text or "")
-                row = _signed(xxhash.xxh64_intdigest(b"".join(b[0].to_bytes(8) for b in page.blocks), SEED))
-                found = page.elements + Counter(b[0] for b in page.blocks)
-                found[0] = 1  # the page itself
-                for token, n in found.items():
-                    for column, value in zip(rows, (row, name, _signed(token), n), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page", "host", "token", "n"])
-
-    counts = pages.select(host().alias("host"), "html").mapInArrow(tokens, "page long, host string, token long, n int")
+                marks.append(_signed(xxhash.xxh64_intdigest(b"".join(b[0].to_bytes(8) for b in page.blocks), SEED)))
+                lists.append([_signed(t) for t in page.sequence])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(marks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["host", "page", "tokens"])
+
+    found = pages.select(host().alias("host"), "html").mapInArrow(made, "host string, page long, tokens array<long>")
     # Copies of a page, by its blocks, count once: what they share is no template unless other pages have it as well.
-    counts = counts.groupBy("host", "page", "token").agg(F.max("n").alias("n"))
+    return found.groupBy("host", "page").agg(F.min("tokens").alias("tokens"))
+
+
+def equivalence_classes(table: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """``host, classes``: the tokens of each class of a host that enough of its pages have."""
+    counts = table.select("host", "page", F.explode("tokens").alias("token")).groupBy("host", "page", "token").agg(F.count("*").alias("n"))
     vectors = counts.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("mark"))
-    vectors = settled(vectors.where(F.col("pages") >= least_pages), "vectors")
-    sizes = vectors.where("token = 0").select("host", F.col("pages").alias("all_pages"))
-    frequent = vectors.where("token <> 0").join(sizes, "host").where(F.col("pages") >= least_share * F.col("all_pages"))
+    sizes = table.groupBy("host").agg(F.count("*").alias("all_pages"))
+    frequent = vectors.where(F.col("pages") >= least_pages).join(sizes, "host").where(F.col("pages") >= least_share * F.col("all_pages"))
     # A page of average size has a bounded number of tokens, and a host has at most 1 / least_share times that number here.
-    classes = frequent.groupBy("host", "pages", "total", "mark").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
+    classes = frequent.groupBy("host", "pages", "total", "mark").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") > 1)
+    return classes.groupBy("host").agg(F.array_sort(F.collect_list("tokens")).alias("classes"))
+
+
+def ordered_classes(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """``host, classes``: the classes cut where their order isn't kept, each in its order, without parts of one token."""
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, tokens_, befores, known = [], [], [], {}
+            for name, tokens, lists in zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "classes")), strict=True):
+                if name not in known:
+                    known[name] = {t: k for k, c in enumerate(lists) for t in c}
+                last: dict[int, int] = {}
+                for t in tokens:
+                    if (c := known[name].get(t)) is not None:
+                        hosts.append(name)
+                        tokens_.append(t)
+                        befores.append(last.get(c))
+                        last[c] = t
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens_, pa.int64()), pa.array(befores, pa.int64())], ["host", "token", "before"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rows in batch.column("rows").to_pylist():  # the template's tokens of one host
+                after = {r["before"]: r["token"] for r in rows if r["same"]}
+                chains = []
+                for r in rows:
+                    if not r["same"]:
+                        chains.append([r["token"]])
+                        while chains[-1][-1] in after:
+                            chains[-1].append(after[chains[-1][-1]])
+                out.append(sorted(c for c in chains if len(c) > 1))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["host", "classes"])
+
+    found = _with_classes(table, classes).mapInArrow(before, "host string, token long, before long")
+    same = (F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))
+    kept = found.groupBy("host", "token").agg(F.coalesce(same, F.lit(False)).alias("same"), F.min("before").alias("before"))
+    return kept.groupBy("host").agg(F.collect_list(F.struct("token", "same", "before")).alias("rows")).mapInArrow(chained, "host string, classes array<array<long>>")
+
+
+def _with_classes(table: DataFrame, classes: DataFrame) -> DataFrame:
+    return table.join(classes.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host")).select("host", "tokens", "classes")
+
+
+#: One class on one page: whether it is in order and not cut, its order's hash, and the class and slot that it lies in.
+PLACE = "host string, class long, good boolean, order long, parent long, slot int"
+
+
+def class_places(tokens: list[int], owner: dict[int, int], sizes: dict[int, int]) -> list[tuple[int, bool, int, int, int]]:
+    """(class, in order and not cut, order hash, parent, slot) of the classes on a page. ``owner``: token -> class, by its first token."""
+    import xxhash
+
+    at: dict[int, list[int]] = {}
+    own: dict[int, list[int]] = {}
+    for k, t in enumerate(tokens):
+        if (c := owner.get(t)) is not None:
+            at.setdefault(c, []).append(k)
+            own.setdefault(c, []).append(t)
+    rounds = {c: [(places[k], places[min(k + sizes[c], len(places)) - 1]) for k in range(0, len(places), sizes[c])] for c, places in at.items()}
+    # For each two classes: before which token of p each round of c begins and ends; equal if it lies between two of them.
+    held = {(c, p): [(bisect_left(outer, a), bisect_left(outer, b)) for a, b in spans] for c, spans in rounds.items() for p, outer in at.items() if p != c}
+    within = {pair: all(i == j for i, j in slots) for pair, slots in held.items()}
+    out = []
+    for c, places in at.items():
+        order = own[c][: sizes[c]]
+        good = own[c] == order * (len(places) // sizes[c]) and len(set(order)) == sizes[c]
+        parent, slot, least = 0, 0, None
+        for p, outer in at.items():
+            if p == c:
+                continue
+            if within[c, p]:
+                numbers = {i % sizes[p] for i, _ in held[c, p]}
+                if len(numbers) == 1 and 0 not in numbers:  # between two neighbours, not outside the class or between two rounds of it
+                    width = min(outer[i] - outer[i - 1] for i, _ in held[c, p])
+                    if least is None or (width, p) < least:
+                        parent, slot, least = p, numbers.pop(), (width, p)
+            elif not within[p, c] and (sizes[c], -c) < (sizes[p], -p):
+                good = False  # they cut through each other: the smaller one goes
+        out.append((c, good, _signed(xxhash.xxh64_intdigest(b"".join(t.to_bytes(8, "big", signed=True) for t in order), SEED)), parent, slot))
+    return out
+
+
+def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.6) -> DataFrame:
+    """``host, template``: the tokens of the valid classes of each host with at least ``least_pages`` different pages."""
+    table = settled(token_table(pages), "tokens")
+    classes = settled(equivalence_classes(table, least_pages, least_share), "vectors")
+    classes = settled(ordered_classes(table, classes), "classes")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, known = [], {}
+            for name, tokens, lists in zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "classes")), strict=True):
+                if name not in known:
+                    known[name] = {t: c[0] for c in lists for t in c}, {c[0]: len(c) for c in lists}
+                rows += [(name, *x) for x in class_places(tokens, *known[name])]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in PLACE.split(", ")])
+
+    same = [F.min(c) == F.max(c) for c in ("order", "parent", "slot")]
+    valid = _with_classes(table, classes).mapInArrow(placed, PLACE).groupBy("host", "class").agg((F.min("good") & same[0] & same[1] & same[2]).alias("valid"))
+    valid = valid.where("valid").groupBy("host").agg(F.collect_set("class").alias("valid"))
+    chosen = F.filter("classes", lambda c: F.array_contains("valid", c[0]))
+    return classes.join(valid, "host").select("host", F.array_sort(F.flatten(chosen)).alias("template"))
 
 
 def main_texts(pages: DataFrame, **options) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``; blocks are joined by a line feed.
 
-    A null or empty page has an empty text. Pages without a url are one host. On hosts with few pages nothing is a
-    template, and the kinds and names of elements decide alone. Repeated rows stay rows of their own; an empty table gives
+    A null or empty page has an empty text. Pages without a url are one host. On hosts with few different pages nothing is
+    a template, and the kinds and names of elements decide alone. Repeated rows stay rows of their own; an empty table gives
     no rows.
     """
     found = settled(templates(pages, **options), "templates").withColumnRenamed("host", "_host")
@@ -192,7 +313,7 @@ def main_texts(pages: DataFrame, **options) -> DataFrame:
                 key = tuple(template or ())
                 if key not in known:
                     known[key] = frozenset(x % (1 << 64) for x in key)
-                texts.append(Page(text or "").main_text(known[key]))
+                texts.append(Page(text or "").main_text(known[key] or None))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
