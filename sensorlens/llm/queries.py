@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import mixing, warc
 from .common import new_folder, ship_package, table
@@ -59,7 +59,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return warc.audited_pages(table(spark, sf_dir, "pages"))
+    return warc.audited_pages(table(spark, sf_dir, "pages"), spoilt=F.expr(warc.SPOILT))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

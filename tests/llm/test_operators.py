@@ -413,7 +413,9 @@ def test_template_text_is_left_out(spark):
 
 
 def test_warc(spark, duck, data):
-    same(warc.audited_pages(common.table(spark, data, "pages")).toPandas(), duck.sql(warc.ORACLE_SQL).df())
+    got = queries.op8_warc(spark, data).toPandas()
+    same(got, duck.sql(warc.ORACLE_SQL).df())
+    assert 0 < got["damaged"].sum() < len(got)
     got = warc.audited_pages(spark.createDataFrame(odd_pages(), PAGES)).collect()
     want = Counter((p, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), False) for p, _, h, *_ in odd_pages())
     assert Counter(map(tuple, got)) == want
@@ -438,6 +440,26 @@ def test_audit_finds_the_damaged_records(spark, data):
     assert warc.write_tree(spark, b) == levels
     found = {(r.archive, r.ordinal) for r in warc.audit(spark, a, b, levels).collect()}
     assert found == set(zip(hit["archive"], hit["ordinal"])) | {(gone, o) for o in index[index["archive"] == gone]["ordinal"]}
+    whole = Counter((r.page_id, hashlib.sha256((r.html or "").encode()).hexdigest()) for r in common.table(spark, data, "pages").collect())
+    differing = warc.audit(spark, a, b, levels)
+    for one, other in ((a, b), (b, a)):  # whichever is damaged, the other one heals
+        got = warc.healed(spark, one, other, differing).collect()
+        assert Counter((r.page_id, r.payload_sha256) for r in got) == whole
+        assert sum(r.damaged for r in got) == len(found)
+    both = index.iloc[17]
+    path = a.removeprefix("file://") + "/" + both.archive
+    raw = bytearray(Path(path).read_bytes())
+    raw[both.offset + both["size"] // 2] ^= 1
+    Path(path).write_bytes(raw)
+    lost = [r for r in warc.healed(spark, a, b, differing).collect() if r.payload_sha256 is None]
+    assert len(lost) == 1 and lost[0].damaged
+
+
+def test_archives_are_dealt_over_tasks(spark, data):
+    folder = common.new_folder(spark, "a")
+    warc.write_warc(common.table(spark, data, "pages").repartition(2), folder, archive_bytes=8_000)
+    tasks = warc.members(spark, folder).select(warc.F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 3
 
 
 def test_media(spark, odd, none, docs):
