@@ -36,6 +36,7 @@ LEAKAGE = [
 ]
 #: Control sequences of terminals, and control characters other than those of lines, tabs and backspaces.
 ANSI = r"(?s)(\x1b(\[[0-?]*[ -/]*[@-~]|\].*?(?:\x07|\x1b\\)|[()][AB012]|[ -/]*[0-~])|[\x00-\x06\x0e-\x1a\x1c-\x1f]|\x7f|\x9b[0-?]*[ -/]*[@-~])"
+#: What dashboards mark as suspicious.
 SUSPICIOUS = [r"curl|wget|chmod|bash|python|nc |ncat", r"xmrig|miner|botnet|dropper|backdoor"]
 
 
@@ -61,21 +62,26 @@ def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(otherwise))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def list_entropy(items: Column) -> Column:
-    """Bits of the multiset ``items``; 0 for none."""
-    n = F.size(items)
-    share = lambda x: F.size(F.filter(items, lambda y: y == x)) / n
-    bits = F.aggregate(F.transform(F.array_distinct(items), lambda x: -share(x) * F.log2(share(x))), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n > 0, bits + 0.0).otherwise(0.0)
+    """Bits of the multiset ``items``; 0 for none. Equal items are neighbours once sorted, so runs tell their numbers."""
+
+    def bits(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda at: F.transform(at, lambda x, k: (F.coalesce(F.get(at, k + 1), n) - x) / n)
+        return bound(starts, lambda at: F.aggregate(run(at), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+
+    return F.when(F.size(items) > 0, bound(F.array_sort(items), bits) + 0.0).otherwise(0.0)
 
 
 def char_entropy(text: Column) -> Column:
-    """Bits of the characters of ``text``; 0 for an empty or null one. A character is counted by the length that is lost without it."""
-    full = F.coalesce(text, F.lit(""))
-    n = F.length(full)
-    share = lambda c: (n - F.length(F.replace(full, c, F.lit("")))) / n
-    different = F.array_distinct(F.regexp_extract_all(full, F.lit("(?s)."), F.lit(0)))
-    return F.when(n > 0, F.aggregate(F.transform(different, lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda a, x: a + x) + 0.0).otherwise(0.0)
+    """Bits of the characters of ``text``; 0 for an empty or null one."""
+    return list_entropy(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0)))
 
 
 def mean_of(values: Column) -> Column:

@@ -37,12 +37,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
+FOREST = "tree int, node int, feature int, threshold double, right int, path double"
+
+
 def fit(train: DataFrame, features: list[str], key: str, trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """``tree, node, feature, threshold, right, path``: each tree from about ``sample`` rows, chosen by a hash of ``key``."""
-    share = min(1.0, sample / max(1, train.count()))
-    rows = cleaned(train, features).select(key, *features)
-    dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """``tree, node, feature, threshold, right, path``: each tree from about ``sample`` rows, chosen by a hash of ``key``.
 
+    Of large tables a row is in one tree at most, so that only the rows of all samples are carried on.
+    """
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         x = group.sort_values(key)[features].to_numpy(float)
@@ -52,7 +54,13 @@ def fit(train: DataFrame, features: list[str], key: str, trees: int = 200, sampl
         out.insert(0, "tree", tree)
         return out
 
-    return dealt.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, threshold double, right int, path double")
+    share = min(1.0, sample / max(1, train.count()))
+    rows, draw = cleaned(train, features).select(key, *features), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
+    if share * trees <= 1:  # a row is in one tree at most: the draw says whether and in which
+        dealt = rows.withColumn("tree", F.floor(draw / (share * (1 << 40))).cast("int")).where(F.col("tree") < trees)
+        return dealt.groupBy("tree").applyInPandas(build, FOREST)
+    dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return dealt.groupBy("tree").applyInPandas(build, FOREST)
 
 
 def score(df: DataFrame, forest: DataFrame, features: list[str], sample: int = 256) -> DataFrame:
@@ -82,6 +90,11 @@ def score(df: DataFrame, forest: DataFrame, features: list[str], sample: int = 2
     return cleaned(df, features).withColumn("score", isolation(*features))
 
 
+def rare(train: DataFrame, label: str, least: int = 50) -> bool:
+    """Whether a label has too few positives for a classifier, so that the forest is the way to it."""
+    return train.where(F.col(label) == 1).limit(least).count() < least
+
+
 def flagged(train_scores: DataFrame, scored: DataFrame, contamination: float = 0.01) -> DataFrame:
     """``scored`` with ``prediction`` 1 where the score is over all but ``contamination`` of the training scores."""
     cut = train_scores.agg(F.percentile_approx("score", 1 - contamination, 10_000).alias("cut"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from . import ranks
 
 
 def turn_pairs(turns: DataFrame, key: str, order: str, side: str, text: str, asks: str, answers: str, clean: bool = False) -> DataFrame:
@@ -100,10 +101,21 @@ def download_pairs(events: DataFrame, column: str = "raw", order: str = "ord") -
     first = rows.groupBy("url").agg(F.min_by(F.struct(order, "destfile", "shasum"), order).alias("r")).select("url", "r.*")
     path = F.regexp_replace("url", r"[?#].*$", "")
     name = F.coalesce(F.nullif(F.element_at(F.split("destfile", "/"), -1), F.lit("")), F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")), F.lit("index.html"))
-    form = F.when(F.row_number().over(W.orderBy(order)) % 2 == 1, "wget").otherwise("curl")
+    form = F.when(F.col("_place") % 2 == 1, "wget").otherwise("curl")
+    first = ranks.running(first, [], ranks.by_size(first, order), [F.col(order), F.col("url")], {"_place": None})
     return first.select(order, "url", F.try_parse_url("url", F.lit("HOST")).alias("host"), name.alias("file_name"), "shasum", form.alias("form"))
 
 
+def sizes(sources: dict[str, DataFrame]) -> DataFrame:
+    """``name, parsed, skipped, different`` of each source of ``instruction, output``: rows, rows with an empty side, and different trimmed instructions of the rest."""
+    out = None
+    for name, rows in sources.items():
+        part = rows.select(F.lit(name).alias("name"), F.trim("instruction").alias("i"), (F.coalesce("output", F.lit("")) == "").alias("bare"))
+        out = part if out is None else out.unionByName(part)
+    skipped = (F.coalesce("i", F.lit("")) == "") | F.col("bare")
+    return out.groupBy("name").agg(F.count("*").alias("parsed"), F.count_if(skipped).alias("skipped"), F.countDistinct(F.when(~skipped, F.col("i"))).alias("different"))
+
+
 def masked_text(pairs: DataFrame) -> DataFrame:
     """One text of a pair for masked training; pairs with both sides empty are left out."""
     full = F.concat(F.coalesce("instruction", F.lit("")), F.lit(" [SEP] "), F.coalesce("output", F.lit("")))

@@ -27,6 +27,11 @@ def matched(commands: DataFrame, reference: DataFrame) -> DataFrame:
     return commands.join(reference, "command")
 
 
+def with_any_match(sessions: DataFrame, commands: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """The sessions of which at least one command is in ``reference``."""
+    return sessions.join(matched(commands, reference).select(key), key, "left_semi")
+
+
 def with_flag(rows: DataFrame, flagged: DataFrame, key: str, name: str = "flagged") -> DataFrame:
     """``rows`` with whether ``flagged`` has their key."""
     known = flagged.select(key).distinct().withColumn(name, F.lit(True))
@@ -67,19 +72,29 @@ def quality_rates(samples: DataFrame, keys: list[str], hypothesis: str = "hypoth
     )
 
 
+def stitched(first: DataFrame, second: DataFrame, suffix: str = "_second") -> DataFrame:
+    """One row with the figures of two one-row results; those of ``second`` that ``first`` has too get ``suffix``."""
+    renamed = second.select(*(F.col(c).alias(c + suffix if c in first.columns else c) for c in second.columns))
+    return first.limit(1).crossJoin(F.broadcast(renamed.limit(1)))  # one row each
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.55, "middle").otherwise("low")
 
 
 def _grams(text: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    if n == 1:
+        return words
+    grams = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.array_join(F.slice(ws, i + 1, n), " "))
+    return T.bound(words, lambda ws: F.when(F.size(ws) >= n, grams(ws)).otherwise(F.array().cast("array<string>")))
 
 
 def overlap(samples: DataFrame, key: str, n: int = 1, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``key`` with matched, reference and hypothesis n-grams, precision, recall and F1, each gram counted at most as often as in both."""
-    side = lambda c, name: samples.select(key, F.explode(_grams(F.col(c), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(name))
-    both = side(reference, "r").join(side(hypothesis, "h"), [key, "gram"], "full")
+    side = lambda c, r: F.transform(_grams(F.col(c), n), lambda g: F.struct(g.alias("gram"), F.lit(r).alias("r"), F.lit(1 - r).alias("h")))
+    grams = samples.select(key, F.explode(F.concat(side(reference, 1), side(hypothesis, 0))).alias("g"))
+    both = grams.groupBy(key, "g.gram").agg(F.sum("g.r").alias("r"), F.sum("g.h").alias("h"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     sums = both.groupBy(key).agg(F.sum(F.least(zero("r"), zero("h"))).alias("matched"), F.sum(zero("r")).alias("in_reference"), F.sum(zero("h")).alias("in_hypothesis"))
     m, r, h = F.col("matched"), F.col("in_reference"), F.col("in_hypothesis")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from . import ranks
 
 
 def _counts(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,8 +33,7 @@ def binary_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFram
 def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Positives and negatives of each different score, and of all greater or equal ones."""
     grouped = scored.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    w = W.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return grouped.withColumns({"cum_pos": F.sum("pos").over(w), "cum_neg": F.sum("neg").over(w)})
+    return ranks.running(grouped, keys, ranks.by_size(scored, "score"), [F.col("score").desc()], {"cum_pos": "pos", "cum_neg": "neg"}, down=True)
 
 
 def ranking_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import HEURISTIC_FEATURES
+from . import ranks
 
 WARN_RATIO = 20
 
@@ -28,18 +29,22 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("cnt"))
 
 
-def _shuffled(label: str, key: str, seed: int):
-    return W.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key)
+def _shuffled(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_place``, from 1 in an order of each label drawn by a hash of ``key``, and ``all__place``, the label's rows."""
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
+    drawn = df.withColumn("_draw", draw)
+    return ranks.running(drawn, [label], F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"), [F.col("_draw"), F.col(key)], {"_place": None}).drop("_draw")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.70, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: exact shares of each label value, in an order drawn by a hash of ``key``."""
-    place = (F.row_number().over(_shuffled(label, key, seed)) - 1) / F.count("*").over(W.partitionBy(label))
-    return df.withColumn("split", F.when(place < train, "train").when(place < train + validation, "val").otherwise("test"))
+    place = (F.col("_place") - 1) / F.col("all__place")
+    split = F.when(place < train, "train").when(place < train + validation, "val").otherwise("test")
+    return _shuffled(df, label, key, seed).withColumn("split", split).drop("_place", "all__place")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.row_number().over(_shuffled(label, key, seed)) - 1, F.lit(folds)).cast("int"))
+    return _shuffled(df, label, key, seed).withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int")).drop("_place", "all__place")
 
 
 def cleaned(df: DataFrame, features: list[str]) -> DataFrame:
@@ -80,6 +85,22 @@ def scale(df: DataFrame, scaler: DataFrame) -> DataFrame:
     return rows.withColumns({f: (F.col(f) - r["mean"]) / r["scale"] for f, r in state.items()})
 
 
+def save_scaler(scaler: DataFrame, path: str) -> None:
+    """One row for each feature, so one file does."""
+    scaler.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature string, log1p boolean, mean double, scale double").parquet(path)
+
+
+def prevalence(df: DataFrame, labels: list[str]) -> DataFrame:
+    """``label, positive``, one row for each label, and one named ``unlabelled`` for the rows without any."""
+    none = reduce(lambda a, b: a & b, [F.coalesce(F.col(y), F.lit(0)) == 0 for y in labels])
+    row = df.agg(*(F.count_if(F.col(y) == 1).alias(y) for y in labels), F.count_if(none).alias("unlabelled"))
+    return row.unpivot([], [*labels, "unlabelled"], "label", "positive")
+
+
 def correlations(df: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
     """``feature, label, corr`` for all pairs, in one pass."""
     pairs = [(f, y) for f in features for y in labels]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 GAP_SECONDS = 1800
@@ -18,18 +20,32 @@ def _micros(a: str, b: str):
 
 
 def sessionize(events: DataFrame, keys=KEYS, ts: str = "timestamp", order: str = "id", gap_seconds: float = GAP_SECONDS) -> DataFrame:
-    """``events`` with ``session`` (keys and number) and ``delay``, seconds since the session's event before, cut to milliseconds.
+    """``events`` with ``session`` (keys and number), ``delay``, seconds since the session's event before, cut to milliseconds,
+    and ``next_delay``, those to the one after.
 
     A gap of more than ``gap_seconds`` begins a session. Rows without a time are left out; equal times go by ``order``.
+    Windows hold one day of one key; what days hand on to each other, one row for each, goes in a second level, so that a
+    busy key is no single task.
     """
-    w = W.partitionBy(*keys).orderBy(ts, order)
-    before = F.lag(ts).over(w)
-    gap = F.timestamp_diff("MICROSECOND", before, F.col(ts))
-    fresh = (before.isNull() | (gap > int(gap_seconds * 1_000_000))).cast("int")
-    numbered = events.where(F.col(ts).isNotNull()).withColumns({"_new": fresh, "_gap": gap})
-    number = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
+    most = int(gap_seconds * 1_000_000)
+    rows = events.where(F.col(ts).isNotNull()).withColumn("_day", F.to_date(ts))
+    w = W.partitionBy(*keys, "_day").orderBy(ts, order)
+    gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+    marked = rows.withColumns({"_gap": gap(F.lag(ts).over(w), F.col(ts)), "_after": gap(F.col(ts), F.lead(ts).over(w))})
+    marked = marked.withColumn("_new", (F.coalesce("_gap", F.lit(0)) > most).cast("int"))
+    days = marked.groupBy(*keys, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_new").alias("_inner"))
+    by_day = W.partitionBy(*keys).orderBy("_day")
+    days = days.withColumns({"_gap_in": gap(F.lag("_last").over(by_day), F.col("_first")), "_gap_out": gap(F.col("_last"), F.lead("_first").over(by_day))})
+    days = days.withColumn("_opens", F.coalesce(F.col("_gap_in") > most, F.lit(True)).cast("int"))
+    before = F.coalesce(F.sum(F.col("_opens") + F.col("_inner")).over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_day").alias("_at_day"), "_gap_in", "_gap_out", "_opens", before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], F.col("_day") == F.col("_at_day"))
+    full = marked.withColumn("_number", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).join(days, same)
+    number = F.col("_before") + F.col("_opens") + F.col("_number")
     name = F.concat_ws("::", *(F.col(k).cast("string") for k in keys), F.concat(F.lit("s"), number.cast("string")))
-    return numbered.withColumns({"session": name, "delay": F.when(F.col("_new") == 0, F.floor(F.col("_gap") / 1000) / 1000.0)}).drop("_new", "_gap")
+    delay = lambda c: F.when(c <= most, F.floor(c / 1000) / 1000.0)
+    timed = full.withColumns({"session": name, "delay": delay(F.coalesce("_gap", "_gap_in")), "next_delay": delay(F.coalesce("_after", "_gap_out"))})
+    return timed.select(*events.columns, "session", "delay", "next_delay")
 
 
 def session_bounds(sessions: DataFrame, keys=KEYS, ts: str = "timestamp") -> DataFrame:
@@ -58,13 +74,12 @@ def distinct_in_order(sessions: DataFrame, column: str, name: str, ts: str = "ti
     return firsts.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
 
 
-def delay_statistics(sessions: DataFrame, ts: str = "timestamp", order: str = "id") -> DataFrame:
+def delay_statistics(sessions: DataFrame) -> DataFrame:
     """``session`` with mean, deviation (of the population), least and greatest delay, and bursts.
 
     A burst is a delay under half a second with one over five seconds after it. Sessions of one event have zeros.
     """
-    w = W.partitionBy("session").orderBy(ts, order)
-    burst = (F.col("delay") < 0.5) & (F.lead("delay").over(w) > 5.0)
+    burst = (F.col("delay") < 0.5) & (F.col("next_delay") > 5.0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return sessions.withColumn("_burst", burst).groupBy("session").agg(
         zero(F.avg("delay")).alias("avg_inter_cmd_delay"), zero(F.stddev_pop("delay")).alias("std_inter_cmd_delay"), zero(F.min("delay")).alias("min_inter_cmd_delay"),
@@ -90,6 +105,7 @@ def sensor_sessions(events: DataFrame, session_id: str | None = None) -> DataFra
     firsts = rows.where("request_data <> ''").groupBy("session", "request_data").agg(F.min(at).alias("at")).select("session", "at.timestamp", "at.id")
     before = F.lag("timestamp").over(W.partitionBy("session").orderBy("timestamp", "id"))
     timed = firsts.withColumn("delay", F.floor(F.timestamp_diff("MICROSECOND", before, F.col("timestamp")) / 1000) / 1000.0)
+    timed = timed.withColumn("next_delay", F.lead("delay").over(W.partitionBy("session").orderBy("timestamp", "id")))
     ends = rows.groupBy("session").agg(F.min_by("src_ip", at).alias("src_ip"), F.min_by("dest_ip", at).alias("dest_ip"))
     numbers = session_bounds(rows, ()).join(ends, "session").join(delay_statistics(timed), "session", "left")
     return numbers.na.fill(0).join(session_lists(rows), "session")

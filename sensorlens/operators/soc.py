@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import net, text as T
 
-MOST_SESSIONS, MOST_LOGS = 200, 500
+MOST_SESSIONS, MOST_LOGS, MOST_LATEST = 200, 500, 1000
+#: Columns of the answers to questions for events and for one session.
+LOG_COLUMNS = ["id", "timestamp", "log_source", "event_type", "src_ip", "src_port", "dest_ip", "dest_port", "protocol", "session_id", "username", "request_data"]
+TIMELINE_COLUMNS = [*LOG_COLUMNS, "password", "dns_query", "http_method", "http_uri", "alert_type", "severity"]
 
 
 def top(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
@@ -75,6 +78,42 @@ def latest(events: DataFrame, limit: int = 100, log_source: str | None = None, e
     return events.orderBy(F.col(by).desc()).limit(min(limit, MOST_LOGS))
 
 
+def latest_in_time(events: DataFrame, limit: int = MOST_LATEST) -> DataFrame:
+    """The latest events by time; of equal times those of the greatest id."""
+    return events.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(min(limit, MOST_LATEST))
+
+
+def answer(events: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the events, those that they have."""
+    return events.select(*(c for c in columns if c in events.columns))
+
+
+def session_types(events: DataFrame) -> DataFrame:
+    """Events of each type inside each session."""
+    return events.where("session_id <> ''").groupBy("session_id", "event_type").agg(F.count("*").alias("cnt"))
+
+
+def session_ids(events: DataFrame) -> DataFrame:
+    return events.where("session_id is not null").select("session_id").distinct()
+
+
+def session_answer(events: DataFrame, session_id: str) -> dict[str, DataFrame]:
+    """All that a page on one session shows: its summary, timeline, credentials and commands."""
+    rows = events.where(F.col("session_id") == session_id)
+    commands_ = rows.where("request_data <> ''").groupBy("request_data").agg(F.min(F.struct("timestamp", "id")).alias("at"), F.count("*").alias("cnt"))
+    return {
+        "summary": session_summary(rows),
+        "timeline": answer(timeline(rows, session_id), TIMELINE_COLUMNS),
+        "credentials": credentials(rows).orderBy("username", "password").limit(50),
+        "commands": commands_.orderBy("at").limit(100).select("request_data", F.col("at.timestamp").alias("first_seen"), "cnt"),
+    }
+
+
+def places(geo: DataFrame, search: str | None = None, order: str = "query") -> DataFrame:
+    """Records of places, those whose address holds ``search`` in any case; null addresses hold nothing."""
+    return geo if not search else geo.where(T.contains(F.col(order), search))
+
+
 def session_summary(events: DataFrame, session_id: str | None = None) -> DataFrame:
     """One row for each session, or for the one asked for."""
     rows = events if session_id is None else events.where(F.col("session_id") == session_id)

@@ -73,6 +73,11 @@ def importances(model: Model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, v, k + 1, v / total > 0.5) for k, (f, v) in enumerate(rows)], "feature string, importance double, rank int, dominant boolean")
 
 
+def mean_importances(each: DataFrame, labels: int) -> DataFrame:
+    """``feature, importance``: the mean over ``labels`` models of ``feature, importance`` rows; a feature that a model lacks is 0 there."""
+    return each.groupBy("feature").agg((F.sum("importance") / labels).alias("importance"))
+
+
 def predict_attacks(models: dict[str, Model], sessions: DataFrame, features: list[str], at: float = 0.5) -> DataFrame:
     """``sessions`` with a probability for each model's name and the names at or over ``at``, likeliest first."""
     out = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(mlprep.cleaned(sessions, features))

