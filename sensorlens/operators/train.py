@@ -19,6 +19,7 @@ FACTORIES: dict[str, Callable] = {
     "gbt": lambda n, rounds: GBTClassifier(weightCol="weight", labelCol="label", maxIter=rounds, maxDepth=6, stepSize=0.1, seed=42),
 }
 LEAST_POSITIVES = 50
+ROWS_A_TASK = 100_000
 
 
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -27,8 +28,9 @@ def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def fit(train: DataFrame, features: list[str], label: str, model: str, rounds: int = 200) -> Model:
-    rows = mlprep.class_weights(assembled(train, features, label), "label")
-    return FACTORIES[model](train.count(), rounds).fit(rows.select("features", "label", "weight"))
+    rows, n = mlprep.class_weights(assembled(train, features, label), "label"), train.count()
+    # Trees take hundreds of small jobs one after the other: tasks of few rows would only cost their start.
+    return FACTORIES[model](n, rounds).fit(rows.select("features", "label", "weight").coalesce(max(1, -(-n // ROWS_A_TASK))))
 
 
 def scored(model: Model, df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -50,6 +52,7 @@ def evaluate(splits: DataFrame, features: list[str], labels: list[str], models:
             rows = scored(fit(train, features, y, m, rounds), splits.where("split <> 'train'"), features, y)
             rows = rows.select("split", "label", "prediction", F.round("score", 9).alias("score"), F.lit(y).alias("label_name"), F.lit(m).alias("model"))
             out = rows if out is None else out.unionByName(rows)
+    train.unpersist()
     keys = ["label_name", "model", "split"]
     return metrics.binary_metrics(out, keys).join(metrics.ranking_metrics(out, keys), keys)
 
@@ -61,6 +64,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, mod
         part = scored(fit(rows.where(F.col("fold") != k), features, label, model, rounds), rows.where(F.col("fold") == k), features, label)
         part = part.select(F.lit(k).alias("fold"), "label", "prediction")
         out = part if out is None else out.unionByName(part)
+    rows.unpersist()
     each = metrics.binary_metrics(out, ["fold"]).select("fold", F.lit(model).alias("model"), F.col("f1").alias("value"))
     return metrics.over_folds(each, ["model"])
 

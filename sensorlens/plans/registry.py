@@ -584,6 +584,9 @@ def stream_sessions(spark, sf_dir):
     if not folder:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     out = f"{folder}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -36,9 +37,11 @@ def records(recordings: DataFrame, key: str = "path", content: str = "content")
     """``key`` and the decoded records of each row of ``recordings``."""
     spark = recordings.sparkSession
     spark.udtf.register("decode_records", DecodeRecords)
-    view = "terminal_recordings_in"
+    view = f"terminal_recordings_{uuid.uuid4().hex}"
     recordings.select(F.col(key).alias("key"), F.col(content).alias("content")).createOrReplaceTempView(view)
-    return spark.sql(f"SELECT r.key AS `{key}`, d.* FROM {view} r, LATERAL decode_records(r.content) d")
+    found = spark.sql(f"SELECT r.key AS `{key}`, d.* FROM {view} r, LATERAL decode_records(r.content) d")
+    spark.catalog.dropTempView(view)
+    return found
 
 
 def pairs(recordings: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
