@@ -27,12 +27,9 @@ LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(dimensions, counts) of the three-byte grams of the lower-cased words, each between single spaces."""
     total = np.zeros(DIMENSIONS, np.int64)
-    for at in range(0, len(text), 1 << 20):  # a very long text passes in parts that overlap
-        words = text[max(0, at - 2) : at + (1 << 20)].lower().encode().translate(LETTERS).split()
-        raw = b" " + b" ".join(words) + b" "
-        if len(raw) < 3:
-            continue
-        b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    raw = b" " + b" ".join(text.lower().encode().translate(LETTERS).split()) + b" "
+    for at in range(0, len(raw) - 2, 1 << 20):  # a very long text passes in parts, which share the bytes of a gram
+        b = np.frombuffer(raw, np.uint8, min(len(raw) - at, (1 << 20) + 2), at).astype(np.uint32)
         h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
         h ^= h >> np.uint32(15)
         total += np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 13), minlength=DIMENSIONS)

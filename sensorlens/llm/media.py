@@ -193,15 +193,20 @@ def fetched(store, path: str, offset: int, size: int, crc: int, tries: int) -> t
     return None, tries, f"member at {offset} of {path}: {why}"
 
 
+#: Ranges have at least so many bytes, and more where there would be too many of them.
+LEAST_RANGE, MOST_RANGES = 16 << 20, 100_000
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options):
-        self.folder, self.range_bytes, self.tries = options["path"], int(options.get("range_bytes", 16 << 20)), int(options.get("tries", 3))
+        self.folder, self.range_bytes, self.tries = options["path"], int(options.get("range_bytes", 0)), int(options.get("tries", 3))
 
     def partitions(self) -> list[Range]:
         store, base = _store(self.folder)
         with store.open_input_stream(f"{base}/{MANIFEST}") as f:
             archives = json.loads(f.read())
-        return [Range(name, at, min(size, at + self.range_bytes)) for name, size in archives for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+        step = self.range_bytes or max(LEAST_RANGE, sum(size for _, size in archives) // MOST_RANGES)
+        return [Range(name, at, min(size, at + step)) for name, size in archives for at in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         names, kinds = ["row_id", "doc_id", "offset", "media", "attempts", "error"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string()]

@@ -3,7 +3,8 @@
 Words are summed by source, the targets of all sources follow from weights and caps, and each document of a source is
 taken ``floor(rate)`` times, and once more if a draw seeded by its id falls below the rest of the rate. Draws come from an
 MD5 over the id, so that reruns and other engines agree. A source takes, of ``TRIES`` independent sets of draws, the one
-that lands nearest its target: each is a Bernoulli draw for each document.
+that lands nearest its target. In each set a document is drawn with its probability; over the choice of a set that holds
+only nearly, and in small sources documents that fill the gap to the target are somewhat likelier.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def emit_mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns; those without words go through once
-    if their source's rate is not 0."""
+    """The rows of ``docs``, each as often as the mix takes it, with their columns. Rows without words are taken by their
+    source's rate like any other; those of sources without any word are left out."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     plan = settled(mixing_plan(settled(named, "sizes")), "mix")
     row = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_key"), F.col("doc_id").cast("long").alias("_doc"))

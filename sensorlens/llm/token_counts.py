@@ -13,6 +13,7 @@ frequency times pieces. Three steps, none of which makes token ids for a documen
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +35,10 @@ FLUSH_AT = 400_000
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    if not os.path.exists(path):  # a worker that has the files elsewhere
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
