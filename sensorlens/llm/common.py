@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package even if only the driver had it on its path."""
+    """Lets Python workers import this package even if only the driver has it: on its path on one machine, else as an archive, once for each application."""
+    sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
+    env = sc.environment
     held = env.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if not sc.master.startswith("local") and sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), package), "zip", root, package))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a new temporary folder is made, once for each application.
+    Only where that is unset on one machine, as in tests, a new temporary folder is made, once for each application.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -50,9 +59,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later readers neither recompute it nor depend on an executor."""
+    return settled_at(df, label)[0]
+
+
+def settled_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same with the path."""
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``settled_at`` wrote and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def column_or_null(df: DataFrame, name: str, kind: str):

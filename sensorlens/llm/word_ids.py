@@ -18,10 +18,10 @@ from .token_counts import load_tokenizer
 
 #: Fixed value: the split into pre-tokens that this encoder makes itself for plain words.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that a worker remembers at most; beyond that only those of the last slice stay. About 150 bytes each.
-REMEMBERED = 600_000
+#: Words that a worker remembers at most; beyond that only those stay that are met again and again. About 150 bytes each.
+REMEMBERED = 400_000
 #: Bytes of text encoded at once, so that memory stays bounded; a longer text is a slice of its own.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 #: Kinds of bytes. Others (capitals that stayed, apostrophes, control and further characters) make a word that isn't plain.
 BETWEEN, LETTER, DIGIT, SIGN = 1, 2, 3, 4
@@ -73,9 +73,10 @@ class WordEncoder:
         plan |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "CharDelimiterSplit", "delimiter": " "}, splits[1]]}}
         self.plain = Tokenizer.from_str(json.dumps(plan)) if suffix else None
         self.remembered = remembered
-        #: Number of each word known, and for each number its place and length in the pool of ids.
+        #: Number of each word known, and for each number its place and length in the pool of ids, and how many slices had it.
         self.known: dict[str, int] = {}
         self.places, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.uses = np.zeros(0, np.int32)
 
     def _encoded(self, words: list[str], plain: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, sizes) of groups of ``words``, in order."""
@@ -101,16 +102,21 @@ class WordEncoder:
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
         self.pool, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.places = np.cumsum(self.sizes) - self.sizes
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
         if not len(self.known) == first + len(new) == len(self.sizes) or self.sizes.sum() != len(self.pool):
             raise RuntimeError("the ids of some words can't be told apart")
 
     def _numbers(self, words: list[str], plain: np.ndarray) -> np.ndarray:
         """The number of each of the different ``words``; ``plain`` says which are single pre-tokens of plain words."""
         if len(self.known) + len(words) > self.remembered:
-            stay = [w for w in words if w in self.known]
-            at = np.array([self.known[w] for w in stay], np.int64)
-            self.known = dict(zip(stay, range(len(stay)), strict=True))
-            self.sizes, self.pool = self.sizes[at], self.pool[_runs(self.places[at], self.sizes[at])]
+            # Those that several slices had stay, as many of them as half the room takes, and what this slice needs.
+            least = next((u for u in range(2, 1 << 30) if np.count_nonzero(self.uses >= u) <= self.remembered // 2), 2)
+            keep = self.uses >= least
+            keep[[k for w in words if (k := self.known.get(w)) is not None]] = True
+            at = np.flatnonzero(keep)
+            number = np.cumsum(keep) - 1
+            self.known = {w: int(number[k]) for w, k in self.known.items() if keep[k]}
+            self.sizes, self.uses, self.pool = self.sizes[at], self.uses[at] - 1, self.pool[_runs(self.places[at], self.sizes[at])]
             self.places = np.cumsum(self.sizes) - self.sizes
         get = self.known.get
         found = np.array([get(w, -1) for w in words], np.int64)
@@ -119,6 +125,7 @@ class WordEncoder:
             new_plain, new_other = np.flatnonzero(new & plain), np.flatnonzero(new & ~plain)
             self._learn([words[k] for k in new_plain.tolist()], [words[k] for k in new_other.tolist()])
             found[new] = [self.known[words[k]] for k in np.flatnonzero(new).tolist()]
+        self.uses[found] += 1
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
