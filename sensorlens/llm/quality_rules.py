@@ -190,10 +190,10 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that neither the base nor a rule rejects, with all their columns."""
-    statistics = settled(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
-    rules = learn_rules(statistics, labels, **options)
-    named = docs.select(F.struct("*").alias("_row"), "text")
-    # The number keeps the filter above the counts: pushed below, it would hold them all again for each condition.
-    counted = text_statistics(named, ["_row"]).withColumn("_at", F.monotonically_increasing_id())
-    return counted.where((F.col("_at") >= 0) & ~base_failed() & verdict(rules).isNull()).select("_row.*")
+    """The rows of ``docs`` that neither the base nor a rule rejects, with all their columns.
+
+    Counts are made once and written beside the rows; the rules are learnt from the counts alone.
+    """
+    counted = settled(text_statistics(docs.select(F.struct("*").alias("_row"), "text"), ["_row"]), "counted")
+    rules = learn_rules(counted.withColumn("doc_id", F.col("_row.doc_id").cast("long")).drop("_row"), labels, **options)
+    return counted.where(~base_failed() & verdict(rules).isNull()).select("_row.*")

@@ -8,23 +8,25 @@
    triangle inequality the inside can be left out if it is farther than radius + ball from the vantage point, the outside
    if it is nearer than radius - ball. Each shard compares what lives there with itself and its visitors, in blocks, and
    returns for each fingerprint that has a link the least one it hangs together with there.
-4. A shard that grew dense, because near copies crowd in a few bits where no radius parts them, isn't compared pair by
-   pair: fingerprints within two bits have a common value within one bit of each, so its fingerprints are dealt out by
-   their 65 values within one bit, and those that meet, at most 65, are linked. This is exact, and linear in the shard.
+4. A shard that holds too many gets a tree of its own, grown in a task from a bounded sample of it, so that the shards grow
+   with the table. One that stays dense, because near copies crowd in a few bits where no radius parts them, isn't compared
+   pair by pair: fingerprints within two bits have a common value within one bit of each, so its fingerprints are dealt out
+   by their 65 values within one bit, and those that meet, at most 65, are linked. This is exact, and linear in the shard.
 5. Links between shards become components by alternating large and small stars, a written table after each round.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled
-from .shingles import perhaps_in, set_links, with_digests
+from .common import released, settled, settled_at
+from .shingles import perhaps_in, set_groups, with_digests
 
 SEED = 42
 LINK_BITS = 2
@@ -103,8 +105,11 @@ def build_tree(sample: np.ndarray, leaf: int, seed: int = 7) -> Node | int:
     return grow(np.asarray(sample, np.uint64), 0)
 
 
-def visits(tree: Node | int, fps: np.ndarray, ball: int = LINK_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, lives there) for the home of each fingerprint and for each later shard that its ball may reach."""
+def visits(tree: Node | int, fps: np.ndarray, ball: int = LINK_BITS, guests: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, lives there) for the home of each fingerprint and for each later shard that its ball may reach.
+
+    ``guests``: rows that live nowhere here and visit every shard that their ball may reach.
+    """
     rows, shards, home = [], [], np.zeros(len(fps), np.int32)
     stack = [(tree, np.arange(len(fps)), np.ones(len(fps), bool))]
     while stack:
@@ -121,8 +126,11 @@ def visits(tree: Node | int, fps: np.ndarray, ball: int = LINK_BITS) -> tuple[np
         stack.append((node.inside, at[near], (lives & (d <= node.radius))[near]))
         stack.append((node.outside, at[far], (lives & (d > node.radius))[far]))
     row, shard = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, shards))
-    keep = shard >= home[row] if len(row) else np.zeros(0, bool)
-    return row[keep], shard[keep], (shard == home[row])[keep] if len(row) else keep
+    lives = shard == home[row]
+    keep = shard >= home[row]
+    if guests is not None:
+        lives, keep = lives & ~guests[row], keep | guests[row]
+    return row[keep], shard[keep], lives[keep]
 
 
 # --- inside a shard
@@ -165,12 +173,38 @@ def shard_links(fps: np.ndarray, lives: np.ndarray, ball: int = LINK_BITS) -> tu
     return nodes, least[label]
 
 
-def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size: int = 4_096, dense: int = 32_768) -> DataFrame:
+#: A fingerprint where it lives or visits; ``part`` is the shard of the shard's own tree, 0 where it has none.
+PLACED = "shard int, part int, fp long, lives boolean"
+
+
+def _sample_of(column: str, share) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < share * (1 << 30)
+
+
+def _heavy(placed: DataFrame, dense: int) -> DataFrame:
+    """``shard, part, n`` of the shards that hold too many; of a bounded number of shards."""
+    sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("n"), F.sum(F.col("lives").cast("long")).alias("living"))
+    return sizes.where((F.col("living") > dense) | (F.col("n") > 16 * dense)).select("shard", "part", "n")
+
+
+def _own_trees(placed: DataFrame, heavy: DataFrame, sample_size: int, leaves: int) -> dict[int, Node | int]:
+    """A tree for each of the ``heavy`` shards, of about ``leaves`` shards, grown in tasks from ``sample_size`` fingerprints each."""
+
+    def grow(sample: pa.Table) -> pa.Table:
+        points = np.sort(sample.column("fp").to_numpy().view(np.uint64))
+        tree = pickle.dumps(build_tree(points, max(4, len(points) // leaves)))
+        return pa.table({"shard": sample.column("shard").slice(0, 1), "tree": pa.array([tree], pa.binary())})
+
+    shares = F.broadcast(heavy.select("shard", F.least(F.lit(1.0), F.lit(sample_size) / F.col("n")).alias("share")))  # of a bounded number of shards
+    sampled = placed.join(shares, "shard").where(_sample_of("fp", F.col("share"))).select("shard", "fp")
+    return {r.shard: pickle.loads(r.tree) for r in sampled.groupBy("shard").applyInArrow(grow, "shard int, tree binary").collect()}
+
+
+def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size: int = 4_096, dense: int = 32_768, leaves: int = 256) -> DataFrame:
     """``a, b`` with ``b < a``: links between different fingerprints ``fp`` of ``groups``, as many as make the components."""
     spark = groups.sparkSession
     n = groups.count()
-    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample_size / max(1, n)) * (1 << 30))
-    sample = np.array([r.fp for r in groups.where(part).select("fp").collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in groups.where(_sample_of("fp", min(1.0, sample_size / max(1, n)))).select("fp").collect()], np.int64).view(np.uint64)
     sample.sort()
     tree = spark.sparkContext.broadcast(build_tree(sample, max(16, round(shard_size * len(sample) / max(1, n)))))
 
@@ -179,11 +213,27 @@ def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), 2_000):
                 row, shard, lives = visits(tree.value, fps[at : at + 2_000])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[at : at + 2_000][row].view(np.int64)), pa.array(lives)], ["shard", "fp", "lives"])
-
-    placed = settled(groups.select("fp").mapInArrow(dealt, "shard int, fp long, lives boolean"), "shards")
-    sizes = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("lives").cast("long")).alias("living"))
-    heavy = [r.shard for r in sizes.where((F.col("living") > dense) | (F.col("n") > 16 * dense)).select("shard").collect()]  # of a bounded number of shards
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(row), np.int32)), pa.array(fps[at : at + 2_000][row].view(np.int64)), pa.array(lives)], ["shard", "part", "fp", "lives"])
+
+    placed = settled(groups.select("fp").mapInArrow(dealt, PLACED), "shards")
+    heavy = settled(_heavy(placed, dense), "heavy")
+    crowded = None
+    if names := [r.shard for r in heavy.select("shard").collect()]:
+        own = spark.sparkContext.broadcast(_own_trees(placed, heavy, sample_size // 8, leaves))
+
+        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shards, fps, lives = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp", "lives"))
+                for shard in np.unique(shards).tolist():
+                    here = np.flatnonzero(shards == shard)
+                    for at in range(0, len(here), 2_000):
+                        some = here[at : at + 2_000]
+                        row, part, home = visits(own.value.get(shard, 0), fps[some].view(np.uint64), guests=~lives[some].astype(bool))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), shard, np.int32)), pa.array(part), pa.array(fps[some][row]), pa.array(home)], ["shard", "part", "fp", "lives"])
+
+        inside = F.col("shard").isin(names)
+        placed = settled(placed.where(~inside).unionByName(placed.where(inside).mapInArrow(parted, PLACED)), "parts")
+        crowded = settled(_heavy(placed.where(inside), dense).select("shard", "part"), "crowded")  # at most ``leaves`` for each shard
 
     def compare(shard: pa.Table) -> pa.Table:
         fps, lives = shard.column("fp").to_numpy(), shard.column("lives").to_numpy()
@@ -191,12 +241,14 @@ def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size:
         keep = a != b
         return pa.table({"a": a[keep], "b": b[keep]})
 
-    found = placed.where(~F.col("shard").isin(heavy)).groupBy("shard").applyInArrow(compare, "a long, b long")
-    if heavy:
+    light = placed if crowded is None else placed.join(F.broadcast(crowded), ["shard", "part"], "left_anti").select(*placed.columns)
+    found = light.groupBy("shard", "part").applyInArrow(compare, "a long, b long")
+    if crowded is not None:
+        full = placed.join(F.broadcast(crowded), ["shard", "part"], "left_semi")
         bit = F.sequence(F.lit(0), F.lit(63))
         near = F.concat(F.array("fp"), F.transform(bit, lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-        meet = placed.where(F.col("shard").isin(heavy)).select("shard", "fp", F.explode(near).alias("value"))
-        met = meet.groupBy("shard", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+        meet = full.select("shard", "part", "fp", F.explode(near).alias("value"))
+        met = meet.groupBy("shard", "part", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
         pairs = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
         found = found.unionByName(pairs)
     return found
@@ -207,17 +259,21 @@ def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size:
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``node, root`` for each node of the links ``a, b``, where ``root`` is the least node of its component."""
-    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    spark = links.sparkSession
+    edges, held = settled_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = settled(large, "large")
+        large, wide = settled_at(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = settled(small.where("a <> b").distinct(), "edges")
+        edges, new = settled_at(small.where("a <> b").distinct(), "edges")
+        for path in (held, wide):
+            released(spark, path)
+        held = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -251,7 +307,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows without ``doc_id`` all stay.
     """
     rows = settled(with_digests(docs.withColumn("_near_row", F.monotonically_increasing_id())), "rows")
-    found = settled(components(set_links(rows, **options)), "components")
+    found = settled(set_groups(rows, components, **options), "components")
     marked = rows.select("_near_row", "doc_id", "_near_digest").join(found.hint("merge"), F.col("_near_digest") == F.col("node"), "left")
     marked = marked.select("_near_row", F.coalesce("root", "_near_digest").alias("root"), F.col("doc_id").isNull().alias("without_id"), "doc_id")
     marked = settled(marked, "marked")

@@ -47,7 +47,7 @@ def _texts():
                 c[at] = "changed"
             out.append(" ".join(c))
     base = rng.choices(words, k=120)  # a crowd that meets in the same shingles
-    for k in range(60):
+    for k in range(150):
         c = list(base)
         for at in rng.sample(range(len(c)), rng.randint(1, 5)):
             c[at] = f"x{k}"
@@ -55,7 +55,7 @@ def _texts():
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"many": 2}, {"many": 1000}, {"sample_size": 40, "listed": 10}])
+@pytest.mark.parametrize("options", [{}, {"block": 7}, {"sample_size": 40, "listed": 10}])
 def test_stage_keeps_one_of_each_group(spark, options):
     common.ship_package(spark)
     texts = _texts()

@@ -318,7 +318,7 @@ def test_tree_loses_no_link(spark):
     fps = _crowd(1500)
     want = {int(f): int(fps[c]) for f, c in zip(fps, _components([int(x) for x in fps]), strict=True)}
     groups = spark.createDataFrame([(int(np.int64(f)),) for f in fps.view(np.int64)], "fp long").repartition(4)
-    for options in ({"shard_size": 64, "sample_size": 500}, {"shard_size": 64, "dense": 100}, {"shard_size": 5000}):
+    for options in ({"shard_size": 64, "sample_size": 500}, {"shard_size": 64, "dense": 100}, {"shard_size": 5000}, {"shard_size": 5000, "dense": 120, "leaves": 40}, {"shard_size": 400, "dense": 30, "leaves": 3, "sample_size": 800}):
         got = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(groups, **options)).collect()}
         parts = defaultdict(set)
         for f in fps.tolist():

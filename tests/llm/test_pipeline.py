@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from sensorlens.llm import common, language_id, mixing, quality_rules, simhash
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_near_copies import _groups, _sets  # noqa: E402
+
+from sensorlens.llm import common, language_id, mixing, quality_rules  # noqa: E402
 
 
 def test_stages(spark, data):
@@ -20,7 +26,8 @@ def test_stages(spark, data):
         if name == "language_id":
             return Counter(r.doc_id for r in language_id.identified(given).where("not rejected").collect())
         if name == "simhash_near_dedup":
-            return Counter({r.component_id for r in simhash.near_duplicates(given).collect()})
+            source = sorted((r.doc_id, r.text) for r in given.collect())
+            return Counter({source[g][0] for g in _groups(_sets([t for _, t in source]))})
         taken = mixing.mixed(given).where("taken > 0").collect()
         return Counter({r.doc_id: r.taken // r.size for r in taken})
 
