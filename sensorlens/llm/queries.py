@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, warc
+from . import conversation_repair, mixing, warc
 from .common import new_folder, ship_package, table
 from .html_text import main_texts
 from .language_id import identified
@@ -72,6 +72,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_media(table(spark, sf_dir, "documents"), new_folder(spark, "media"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
@@ -83,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_media": op10_media,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
