@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_repair, mixing, warc
+from . import conversation_repair, hard_negatives, mixing, warc
 from .common import new_folder, ship_package, table
 from .html_text import main_texts
 from .language_id import identified
@@ -14,6 +14,7 @@ from .media import stored_media
 from .packing import packed
 from .quality_rules import judged
 from .simhash import near_duplicates
+from .substring_dedup import ORACLE_SQL as SUBSTRING_SQL, without_repeats
 from .token_counts import token_counts
 from .token_store import stored_digests
 
@@ -77,6 +78,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
@@ -89,10 +101,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_media": op10_media,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op12_substring_dedup": SUBSTRING_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
