@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .walks import backspaced
+
 #: Flag -> (pattern, whether case counts). They run on the commands of a session, joined by '|'.
 COMMAND_FLAGS = {
     "has_download_execute_chain": (r"(?:wget|curl|tftp)\b.*(?:chmod|\.\\/|sh\s|bash\s|python)", False),
@@ -20,6 +22,7 @@ COMMAND_FLAGS = {
     "has_internal_ip_scan": (r"(?:10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+)", True),
     "has_port_forwarding": (r"ssh\s+.*-[LRD]\s|socat\b|proxychains\b", False),
 }
+#: Runs of hexadecimal digits, and words of encrypted connections.
 HEX_RUN = r"(?:[0-9a-fA-F]{2}){10,}"
 TLS_HINT = r"(?:ClientHello|TLS|SSL)"
 #: Phrases that give a language model away.
@@ -98,13 +101,6 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, ANSI, "")
 
 
-def backspaced(text: Column) -> Column:
-    """``text`` with each backspace taking away the character before it."""
-    step = lambda a, c: F.when(c == "\b", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(c)))
-    slow = F.array_join(F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.array().cast("array<string>"), step), "")
-    return F.when(text.contains("\b"), slow).otherwise(text)
-
-
 def clean_input(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(backspaced(strip_control(text)), r"^[\r\n]+|[\r\n]+$", ""), r"(?U)^\s+|\s+$", "")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .mlprep import cleaned
+from .quantiles import exact_quantiles
 
 
 def _average_path(n: np.ndarray | float) -> np.ndarray:
@@ -97,5 +98,5 @@ def rare(train: DataFrame, label: str, least: int = 50) -> bool:
 
 def flagged(train_scores: DataFrame, scored: DataFrame, contamination: float = 0.01) -> DataFrame:
     """``scored`` with ``prediction`` 1 where the score is over all but ``contamination`` of the training scores."""
-    cut = train_scores.agg(F.percentile_approx("score", 1 - contamination, 10_000).alias("cut"))
+    cut = exact_quantiles(train_scores, "score", [], {"cut": 1 - contamination})
     return scored.crossJoin(F.broadcast(cut)).withColumn("prediction", (F.col("score") > F.col("cut")).cast("int")).drop("cut")  # one row

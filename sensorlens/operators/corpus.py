@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..functions.walks import substitutions
 from . import ranks
 
 
@@ -59,25 +57,8 @@ def base_command(command: Column) -> Column:
 def inner_commands(commands: DataFrame, column: str = "command") -> DataFrame:
     """Commands with ``inner``: the first command in each ``$( )``, parentheses inside counted."""
 
-    @F.pandas_udf("array<string>")
-    def inside(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def found(text: str | None) -> list[str]:
-            out, at = [], 0
-            while text and (at := text.find("$(", at)) >= 0:
-                depth, end = 1, at + 2
-                while end < len(text) and depth:
-                    depth += {"(": 1, ")": -1}.get(text[end], 0)
-                    end += 1
-                if not depth:
-                    out.append(text[at + 2 : end - 1])
-                at = end
-            return out
-
-        for series in texts:
-            yield series.map(found)
-
     first = lambda x: head_of(F.get(F.split(F.trim(x), r"\s*(?:&&|;)\s*"), 0))
-    return commands.withColumn("inner", F.filter(F.transform(inside(column), first), lambda x: x != ""))
+    return commands.withColumn("inner", F.filter(F.transform(substitutions(F.col(column)), first), lambda x: x != ""))
 
 
 def with_response(commands: DataFrame, responses: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..functions.walks import common_words
+from .quantiles import exact_quantiles
 
 FACTORS = [0.2, 0.4, 0.6, 0.8, 1.0]
 CONSISTENT, HALLUCINATED = 0.75, 0.45
@@ -56,11 +55,14 @@ def engagement(sessions: DataFrame, factors: list[float] | None = None) -> DataF
 
 
 def engagement_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures of each ``keys``; the median is exact, and no task holds a group's values for it."""
     increase = lambda a, b, least: (F.sum(b) - F.sum(a)) / F.greatest(F.sum(a), F.lit(least)) * 100
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("sessions"), F.avg("aei").alias("mean_aei"), F.median("aei").alias("median_aei"), F.min("aei").alias("min_aei"), F.max("aei").alias("max_aei"),
+    figures = rows.groupBy(*keys).agg(
+        F.count("*").alias("sessions"), F.avg("aei").alias("mean_aei"), F.min("aei").alias("min_aei"), F.max("aei").alias("max_aei"),
         increase("n", "llm_n", 1.0).alias("command_increase_pct"), increase("dur", "llm_dur", 0.01).alias("duration_increase_pct"),
     )
+    medians = exact_quantiles(rows, "aei", keys, {"median_aei": 0.5}).select(F.struct(*keys).alias("_key"), "median_aei")
+    return figures.join(medians, F.struct(*keys) == F.col("_key")).drop("_key")
 
 
 def quality_rates(samples: DataFrame, keys: list[str], hypothesis: str = "hypothesis") -> DataFrame:
@@ -116,22 +118,8 @@ def corpus_bleu(samples: DataFrame, key: str, most: int = 4, **names) -> DataFra
 def longest_common(samples: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``samples`` with ``lcs``, the words of the longest common subsequence, and ``rouge_l``."""
 
-    @F.pandas_udf("long")
-    def length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def lcs(a: str | None, b: str | None) -> int:
-            x, y = (a or "").lower().split(), (b or "").lower().split()
-            row = [0] * (len(y) + 1)
-            for w in x:
-                left = 0
-                for j, v in enumerate(y, 1):
-                    left, row[j] = row[j], left + 1 if w == v else max(row[j], row[j - 1])
-            return row[-1]
-
-        for a, b in pairs:
-            yield pd.Series([lcs(p, q) for p, q in zip(a, b, strict=True)])
-
     words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))
-    out = samples.withColumn("lcs", length(reference, hypothesis))
+    out = samples.withColumn("lcs", common_words(F.col(reference), F.col(hypothesis)))
     return out.withColumn("rouge_l", T.ratio(2 * F.col("lcs"), words(reference) + words(hypothesis)))
 
 

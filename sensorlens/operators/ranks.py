@@ -9,15 +9,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .quantiles import balanced_buckets
+
 BUCKETS = 1024
 
 
 def by_size(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """A bucket for each value of a number: equal widths from the least to the greatest, rising with the number."""
-    low, high = df.agg(F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.least(F.floor((F.col(column).cast("double") - low) / ((high - low) / buckets)), F.lit(buckets - 1)).cast("int")
+    """A bucket for each value of a number, rising with it, of about as many rows each, whatever their spread."""
+    return balanced_buckets(df, column, buckets)
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, str | None], down: bool = False) -> DataFrame:

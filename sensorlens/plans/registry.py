@@ -459,7 +459,15 @@ def word_overlap(spark, sf_dir):
     return evaluation.overlap(p, "sample", 1, "instruction", "output").select("sample", "matched", _r("f1", "f1"))
 
 
-@query()
+@query(PAIRS_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT conv_id, pair, list_filter(string_split_regex(lower(instruction), '\\s+'), lambda x: x <> '') AS xs, list_filter(string_split_regex(lower(output), '\\s+'), lambda x: x <> '') AS ys FROM pairs),
+c AS (SELECT *, list_filter(xs, lambda x: list_contains(ys, x)) AS cx, list_filter(ys, lambda x: list_contains(xs, x)) AS cy FROM t),
+x AS (SELECT conv_id, pair, unnest(cx) AS word, unnest(range(1, len(cx) + 1)) AS i FROM c), y AS (SELECT conv_id, pair, unnest(cy) AS word, unnest(range(1, len(cy) + 1)) AS j FROM c),
+d AS (SELECT conv_id, pair, word, j, 0::BIGINT AS i, 0::BIGINT AS v FROM y
+  UNION ALL SELECT conv_id, pair, word, j, i, max(greatest(v, CASE WHEN same THEN before + 1 ELSE 0 END)) OVER (PARTITION BY conv_id, pair ORDER BY j) AS v
+  FROM (SELECT d.conv_id, d.pair, d.word, d.j, d.i + 1 AS i, d.v, x.word = d.word AS same, lag(d.v, 1, 0) OVER (PARTITION BY d.conv_id, d.pair ORDER BY d.j) AS before
+    FROM d JOIN x ON x.conv_id = d.conv_id AND x.pair = d.pair AND x.i = d.i + 1))
+SELECT t.conv_id, t.pair, coalesce(max(v), 0) AS lcs, round(CASE WHEN len(xs) + len(ys) > 0 THEN 2 * coalesce(max(v), 0) / (len(xs) + len(ys)) ELSE 0 END, 6) AS rouge_l
+FROM t LEFT JOIN d ON d.conv_id = t.conv_id AND d.pair = t.pair GROUP BY t.conv_id, t.pair, xs, ys""", log=False)
 def common_subsequence(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return evaluation.longest_common(p, "instruction", "output").select("conv_id", "pair", "lcs", _r("rouge_l", "rouge_l"))
@@ -571,37 +579,9 @@ def isolation_forest(spark, sf_dir):
     return metrics.anomaly_summary(anomaly.flagged(scores.where("label = 0"), scores))
 
 
-@query("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
-m AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_time, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS end_time, count(*) AS event_count FROM m GROUP BY user_id, n""", log=False)
-def stream_sessions(spark, sf_dir):
-    """Gap sessions of the event files as a stream; what it leaves open comes from the events themselves."""
-    import uuid
-
-    from ..streaming import events as streams
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    sessions_ = streams.gap_sessions(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), keys=("user_id",), ts="ts", gap="2 hours")
-    sessions_.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.schema(sessions_.schema).parquet(f"{out}/rows")
-    events = _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    full = streams.with_open_sessions(closed, events, keys=("user_id",), ts="ts", gap="2 hours")
-    return full.select("user_id", _time("start_time"), _time("end_time"), "event_count")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sessions look scripted: sessions, timing, automation profile, the busiest first."""
     return _automation(spark, sf_dir).select("session", "event_count", "automation_score", "automation_likelihood").orderBy(F.col("event_count").desc(), "session").limit(100)
 
 
-from . import more  # noqa: E402, F401  adds its queries
+from . import more, streams  # noqa: E402, F401  add their queries

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators import normalize
+from . import exports, growing
 
 
 def sensor_log(spark: SparkSession, path: str, log_source: str) -> DataFrame:
@@ -13,7 +14,13 @@ def sensor_log(spark: SparkSession, path: str, log_source: str) -> DataFrame:
     return normalize.NORMALIZERS[log_source](spark.read.text(path))
 
 
+def growing_sensor_stream(spark: SparkSession, path: str, log_source: str, start: str = "end", **options) -> DataFrame:
+    """Normalised events of the lines appended to logs at ``path``, from their end or their beginning on, over rotations."""
+    return normalize.NORMALIZERS[log_source](growing.growing_lines(spark, path, start, **options))
+
+
 def sensor_stream(spark: SparkSession, path: str, log_source: str, files_per_trigger: int = 100) -> DataFrame:
+    """Normalised events of log files that come whole and don't grow."""
     return normalize.NORMALIZERS[log_source](spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
@@ -33,14 +40,19 @@ def event_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def event_database(spark: SparkSession, url: str, table: str, key: str = "id", parts: int = 16, bounds: tuple[int, int] = (0, 1 << 31), **options) -> DataFrame:
-    """A table of a database, read in ``parts`` ranges of ``key``, with its text columns typed."""
+def event_database(spark: SparkSession, url: str, table: str, key: str = "id", parts: int = 16, bounds: tuple[int, int] | None = None, **options) -> DataFrame:
+    """A table of a database, read in ``parts`` ranges of ``key`` from its least to its greatest, with its text columns typed."""
+    if bounds is None:
+        ends = spark.read.jdbc(url, f"(SELECT min({key}) AS low, max({key}) AS high FROM {table}) ends", properties=options).first()
+        low, high = (0 if x is None else int(x) for x in ends)
+        bounds = (low, max(high + 1, low + parts))
     raw = spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=options)
     return normalize.typed(raw)
 
 
 def flat_export(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=schemas.FLAT_EXPORT, header=True, multiLine=True, escape='"')
+    """Rows of exports; a file of any size is read by as many tasks as it has ranges, whatever line feeds its fields hold."""
+    return exports.quoted_csv(spark, path, schemas.FLAT_EXPORT)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = schemas.CORPUS) -> DataFrame:

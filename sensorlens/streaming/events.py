@@ -27,15 +27,6 @@ def gap_sessions(events: DataFrame, keys=("src_ip", "dest_ip"), ts: str = "times
     return grouped.select(*keys, F.col("w.start").alias("start_time"), "end_time", "event_count")
 
 
-def with_open_sessions(closed: DataFrame, events: DataFrame, keys=("src_ip", "dest_ip"), ts: str = "timestamp", gap: str = "30 minutes") -> DataFrame:
-    """``closed`` sessions of a stream that has ended, and those of its ``events`` that no watermark came to close."""
-    grouped = events.where(F.col(ts).isNotNull()).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("event_count"), F.max(ts).alias("end_time"))
-    every = grouped.select(*keys, F.col("w.start").alias("start_time"), "end_time", "event_count")
-    # Not an anti join: it would be pushed below the session window and take away events before they are put together.
-    known = closed.select(*keys, "start_time").withColumn("_closed", F.lit(True))
-    return closed.unionByName(every.join(known, [*keys, "start_time"], "left").where("_closed is null").drop("_closed"))
-
-
 def daily_counts(events: DataFrame, ts: str = "timestamp", delay: str = "1 hour") -> DataFrame:
     grouped = events.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("cnt"))
     return grouped.select(F.to_date("w.start").alias("day"), "cnt")
