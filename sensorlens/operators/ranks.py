@@ -5,8 +5,6 @@ No window holds more than a bucket, so a label or a whole table is never one tas
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .quantiles import balanced_buckets
@@ -23,15 +21,15 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     """``df`` with, for each ``new: old`` of ``sums``, the sum of ``old`` (None: the number of rows) over the rows of ``keys`` up
     to and with this one in ``order``. ``bucket`` must rise with the order, or fall if ``down``. ``new`` over all: ``all_new``.
     """
-    rows = df.withColumn("_bucket", bucket)
+    # A struct is never null, so that null keys are a key: windows and the join have one partitioning of the rows.
+    rows = df.withColumns({"_bucket": bucket, "_key": F.struct(*keys) if keys else F.struct(F.lit(0))})
     value = {new: F.lit(1) if old is None else F.col(old) for new, old in sums.items()}
-    totals = rows.groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(f"_sum_{new}") for new, v in value.items()))
+    totals = rows.groupBy("_key", "_bucket").agg(*(F.sum(v).alias(f"_sum_{new}") for new, v in value.items()))
     at = F.col("_bucket").desc() if down else F.col("_bucket")
-    before = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(*keys)
-    places = totals.select(*(F.col(k).alias(f"_at_{k}") for k in keys), F.col("_bucket").alias("_at_bucket"), *(F.coalesce(F.sum(f"_sum_{new}").over(before), F.lit(0)).alias(f"_before_{new}") for new in sums), *(F.sum(f"_sum_{new}").over(every).alias(f"all_{new}") for new in sums))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("_key").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy("_key")
+    places = totals.select(F.col("_key").alias("_at_key"), F.col("_bucket").alias("_at_bucket"), *(F.coalesce(F.sum(f"_sum_{new}").over(before), F.lit(0)).alias(f"_before_{new}") for new in sums), *(F.sum(f"_sum_{new}").over(every).alias(f"all_{new}") for new in sums))
+    inside = W.partitionBy("_key", "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = rows.withColumns({f"_in_{new}": F.sum(v).over(inside) for new, v in value.items()})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys], F.col("_bucket") == F.col("_at_bucket"))
-    out = summed.join(places, same)
-    return out.withColumns({new: F.col(f"_before_{new}") + F.col(f"_in_{new}") for new in sums}).drop("_bucket", "_at_bucket", *(f"_at_{k}" for k in keys), *(f"_{p}_{new}" for new in sums for p in ("before", "in")))
+    out = summed.join(places, (F.col("_key") == F.col("_at_key")) & (F.col("_bucket") == F.col("_at_bucket")))
+    return out.withColumns({new: F.col(f"_before_{new}") + F.col(f"_in_{new}") for new in sums}).drop("_bucket", "_key", "_at_key", "_at_bucket", *(f"_{p}_{new}" for new in sums for p in ("before", "in")))

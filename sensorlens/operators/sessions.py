@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 GAP_SECONDS = 1800
@@ -27,25 +25,40 @@ def sessionize(events: DataFrame, keys=KEYS, ts: str = "timestamp", order: str =
     Windows hold one day of one key; what days hand on to each other, one row for each, goes in a second level, so that a
     busy key is no single task.
     """
-    most = int(gap_seconds * 1_000_000)
-    rows = events.where(F.col(ts).isNotNull()).withColumn("_day", F.to_date(ts))
-    w = W.partitionBy(*keys, "_day").orderBy(ts, order)
+    most, given = int(gap_seconds * 1_000_000), events.columns
+    day, key, gap_in, gap_out, new, opens, before, after, gap_before, at_key, at_day = own_names(
+        given, "day", "key", "gap_in", "gap_out", "new", "opens", "before", "after", "gap_before", "at_key", "at_day"
+    )
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
-    marked = rows.withColumns({"_gap": gap(F.lag(ts).over(w), F.col(ts)), "_after": gap(F.col(ts), F.lead(ts).over(w))})
-    marked = marked.withColumn("_new", (F.coalesce("_gap", F.lit(0)) > most).cast("int"))
-    days = marked.groupBy(*keys, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_new").alias("_inner"))
-    by_day = W.partitionBy(*keys).orderBy("_day")
-    days = days.withColumns({"_gap_in": gap(F.lag("_last").over(by_day), F.col("_first")), "_gap_out": gap(F.col("_last"), F.lead("_first").over(by_day))})
-    days = days.withColumn("_opens", F.coalesce(F.col("_gap_in") > most, F.lit(True)).cast("int"))
-    before = F.coalesce(F.sum(F.col("_opens") + F.col("_inner")).over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = days.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_day").alias("_at_day"), "_gap_in", "_gap_out", "_opens", before.alias("_before"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], F.col("_day") == F.col("_at_day"))
-    full = marked.withColumn("_number", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).join(days, same)
-    number = F.col("_before") + F.col("_opens") + F.col("_number")
+    # A struct is never null, so that null keys are a key: windows, days and their join have one partitioning of the events.
+    rows = events.where(F.col(ts).isNotNull()).withColumns({day: F.to_date(ts), key: F.struct(*keys)})
+    w = W.partitionBy(key, day).orderBy(ts, order)
+    marked = rows.withColumns({gap_before: gap(F.lag(ts).over(w), F.col(ts)), after: gap(F.col(ts), F.lead(ts).over(w))})
+    marked = marked.withColumn(new, (F.coalesce(gap_before, F.lit(0)) > most).cast("int"))
+    days = marked.groupBy(key, day).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.sum(new).alias("inner"))
+    by_day = W.partitionBy(key).orderBy(day)
+    days = days.withColumns({gap_in: gap(F.lag("last").over(by_day), F.col("first")), gap_out: gap(F.col("last"), F.lead("first").over(by_day))})
+    days = days.withColumn(opens, F.coalesce(F.col(gap_in) > most, F.lit(True)).cast("int"))
+    earlier = F.coalesce(F.sum(F.col(opens) + F.col("inner")).over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col(key).alias(at_key), F.col(day).alias(at_day), gap_in, gap_out, opens, earlier.alias(before))
+    numbered = marked.withColumn(new, F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    full = numbered.join(days.hint("shuffle_hash"), (F.col(key) == F.col(at_key)) & (F.col(day) == F.col(at_day)))
+    number = F.col(before) + F.col(opens) + F.col(new)
     name = F.concat_ws("::", *(F.col(k).cast("string") for k in keys), F.concat(F.lit("s"), number.cast("string")))
     delay = lambda c: F.when(c <= most, F.floor(c / 1000) / 1000.0)
-    timed = full.withColumns({"session": name, "delay": delay(F.coalesce("_gap", "_gap_in")), "next_delay": delay(F.coalesce("_after", "_gap_out"))})
-    return timed.select(*events.columns, "session", "delay", "next_delay")
+    made = {"session": name, "delay": delay(F.coalesce(gap_before, gap_in)), "next_delay": delay(F.coalesce(after, gap_out))}
+    return full.select(*(c for c in given if c not in made), *(c.alias(n) for n, c in made.items()))
+
+
+def own_names(given: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that none of ``given`` has, in any case."""
+    taken, out = {c.lower() for c in given}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def session_bounds(sessions: DataFrame, keys=KEYS, ts: str = "timestamp") -> DataFrame:
@@ -79,22 +92,27 @@ def delay_statistics(sessions: DataFrame) -> DataFrame:
 
     A burst is a delay under half a second with one over five seconds after it. Sessions of one event have zeros.
     """
+    return sessions.groupBy("session").agg(*_delay_figures())
+
+
+def _delay_figures() -> list:
     burst = (F.col("delay") < 0.5) & (F.col("next_delay") > 5.0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return sessions.withColumn("_burst", burst).groupBy("session").agg(
+    return [
         zero(F.avg("delay")).alias("avg_inter_cmd_delay"), zero(F.stddev_pop("delay")).alias("std_inter_cmd_delay"), zero(F.min("delay")).alias("min_inter_cmd_delay"),
-        zero(F.max("delay")).alias("max_inter_cmd_delay"), F.count_if("_burst").alias("burst_count"),
-    )
+        zero(F.max("delay")).alias("max_inter_cmd_delay"), F.count_if(burst).alias("burst_count"),
+    ]
 
 
 def build_sessions(events: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataFrame:
-    """One row for each gap session: bounds, source, ordered distinct lists and delays.
+    """One row for each gap session: bounds, source, ordered distinct lists and delays, all in one pass over marked events.
 
-    The events are read in two branches: one for bounds and delays, one that makes the values of all lists distinct at once.
+    Each event stands once for its session's numbers beside its values for the lists, so that what is grouped by session and
+    value has the numbers in a group of its own.
     """
-    marked = sessionize(events, gap_seconds=gap_seconds)
-    numbers = session_bounds(marked).join(delay_statistics(marked), "session")
-    return numbers.join(session_lists(marked), "session")
+    bounds = [*(F.first(k).alias(k) for k in KEYS), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("event_count")]
+    whole = session_lists(sessionize(events, gap_seconds=gap_seconds), [*bounds, *_delay_figures()])  # a session has one of each key
+    return whole.withColumn("duration_sec", _micros("start_time", "end_time") / 1_000_000)
 
 
 def sensor_sessions(events: DataFrame, session_id: str | None = None) -> DataFrame:
@@ -111,17 +129,25 @@ def sensor_sessions(events: DataFrame, session_id: str | None = None) -> DataFra
     return numbers.na.fill(0).join(session_lists(rows), "session")
 
 
-def session_lists(marked: DataFrame) -> DataFrame:
-    """``session``, its most frequent source and its ordered distinct lists."""
+def session_lists(marked: DataFrame, numbers: list | None = None) -> DataFrame:
+    """``session``, its most frequent source and its ordered distinct lists; with ``numbers``, aggregates of its events, beside them."""
     given = {name: column for name, column in {**LISTS, **NON_EMPTY_LISTS, "_source": "log_source"}.items() if column in marked.columns}
     empty = lambda name, column: F.coalesce(F.col(column).cast("string"), F.lit("")) if name in LISTS else F.col(column).cast("string")
-    pairs = F.array(*(F.struct(F.lit(name).alias("name"), empty(name, column).alias("v")) for name, column in given.items()))
-    rows = marked.select("session", "timestamp", "id", F.explode(pairs).alias("p")).select("session", "timestamp", "id", "p.*")
-    rows = rows.where(F.col("name").isin(*LISTS) | (F.col("v") != ""))
-    firsts = rows.groupBy("session", "name", "v").agg(F.min(F.struct("timestamp", "id")).alias("at"), F.count("*").alias("n"))
-    gathered = firsts.groupBy("session").agg(F.collect_list(F.struct("name", "at", "v", "n")).alias("_all"))
+    values = [F.struct(F.lit(name).alias("name"), empty(name, column).alias("v")) for name, column in given.items()]
+    kept = ["timestamp", "id"]
+    if numbers:
+        values.append(F.struct(F.lit("").alias("name"), F.lit("").alias("v")))
+        kept += [*(k for k in KEYS if k in marked.columns), "delay", "next_delay"]
+    rows = marked.select("session", *kept, F.explode(F.array(*values)).alias("p")).select("session", *kept, "p.*")
+    rows = rows.where(F.col("name").isin(*LISTS, "") | (F.col("v") != ""))
+    if numbers:  # only the group of numbers has any
+        rows = rows.withColumns({c: F.when(F.col("name") == "", F.col(c)) for c in ("delay", "next_delay")})
+    firsts = rows.groupBy("session", "name", "v").agg(F.min(F.struct("timestamp", "id")).alias("at"), F.count("*").alias("n"), *(numbers or []))
+    own = [c for c in firsts.columns if c not in ("session", "name", "v", "at", "n")]
+    found = [F.max(F.when(F.col("name") == "", F.struct(*own))).alias("_numbers")] if own else []
+    gathered = firsts.groupBy("session").agg(F.collect_list(F.when(F.col("name") != "", F.struct("name", "at", "v", "n"))).alias("_all"), *found)
     of = lambda name: F.filter("_all", lambda x: x["name"] == name)
     ordered = lambda name: F.transform(F.array_sort(F.transform(of(name), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
     source = F.coalesce(F.array_min(F.transform(of("_source"), lambda x: F.struct(-x["n"], x["v"].alias("v"))))["v"], F.lit(""))
-    lists = gathered.select("session", source.alias("log_source"), *(ordered(name).alias(name) for name in given if name != "_source"))
-    return lists
+    lists = [source.alias("log_source"), *(ordered(name).alias(name) for name in given if name != "_source")]
+    return gathered.select("session", *(F.col(f"_numbers.{c}").alias(c) for c in own), *lists)

@@ -584,4 +584,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _automation(spark, sf_dir).select("session", "event_count", "automation_score", "automation_likelihood").orderBy(F.col("event_count").desc(), "session").limit(100)
 
 
-from . import more, streams  # noqa: E402, F401  add their queries
+from . import more, stores, streams  # noqa: E402, F401  add their queries
