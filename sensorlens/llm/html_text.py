@@ -7,10 +7,9 @@
    its order on every page, over and over again where it repeats. Such a part, of two or more tokens, is valid if it is
    nested: no larger one cuts through it, and it lies in the same slot of the same one on every page. A slot is what lies
    between two neighbours. Valid classes, nested, are the host's template.
-3. Text that is no token of the template lies in its slots. Where the template holds an ``article`` or ``main``, the slots
-   inside it are the main text, else all slots. Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts
-   or comments, as the kinds and names of the elements around them say, are left out. On hosts with too few different pages
-   for a template the page's own elements say where its slots are.
+3. Text that is no token of the template lies in its slots. Which slots are the main text their content over the host's pages
+   tells, not their names: the deepest element that holds most of the text outside links, in several blocks a page, is the
+   host's main element. Kinds and names break ties: what is apart inside it, what an article is in it, and where a page lacks it.
 
 Vectors are never gathered: a vector is known by the number of its pages, its sum and the XOR of a hash over (page, count),
 so a class is one grouping on (host, vector) with partial sums, however many pages a host has. Order and nesting are told
@@ -41,58 +40,72 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 APART = frozenset("head nav header footer aside form menu button select option svg dialog object audio video canvas".split())
 MAIN = frozenset(["article", "main"])
-#: Whole words of class, id or role that tell the same, alone or with parts before or after them (cookie-notice, sidebar-left).
-#: Words that say what a page has, lacks or is filed under (has-sidebar, category-social) tell nothing of the element.
-_OTHER = r"(?!(?:has|no|not|is|with|without|category|tag|type|format|status|post|hentry|term|topic)[-_])"
-_AFTER = r"(?:[-_][\w-]*)?"
-APART_NAME = re.compile(
-    rf"{_OTHER}(?:(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|widget\w*|cookies?|consent|notices?|alert|popup|modal"
-    rf"|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|search\w*|pagination|complementary|contentinfo|navigation){_AFTER})",
-    re.I,
+#: What names say, by their last word, behind which words of place or shape may stand (sidebar-left, comments-area). They break
+#: ties: inside what the host's pages show to be their main text, and where there are too few pages to show anything.
+#: Names of headings and paragraphs say what these are about, and so tell nothing; so do states of a page (has-sidebar, category-social).
+_STATE = r"(?!(?:has|no|not|is|with|without|category|tag|type|format|status|term|topic)[-_](?!cloud\b))"
+_BEHIND = r"(?:[-_](?:left|right|top|bottom|primary|secondary|wrap|wrapper|container|box|area|list|inner|outer|block|section|links?|icons?|buttons?|bar|widget|form|thread|title|\d+))*"
+_APART = (
+    r"ads?|adverts?|advertisements?|advertising|sponsors?|sponsored|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|footer|sidebar|widgets?|cookies?|consent|notices?|alerts?|popup|modal"
+    r"|comments?|commentlist|replies|reply|reviews|disqus|share|sharing|social|newsletter|subscribe|signup|login|search|searchform|pagination|pager|complementary|contentinfo|tag-?cloud"
+    r"|(?:related|recommended|recent|popular|similar)(?:[-_](?:posts?|articles?|stories|news|links?|pages?|reads?|reading|content|items?))?"
 )
+APART_NAME = re.compile(rf"{_STATE}(?:[a-z0-9]+[-_]+)*(?:{_APART}){_BEHIND}", re.I)
 #: The same outside main text; inside, a header holds a title.
-HEADER_NAME = re.compile(rf"{_OTHER}(?:[a-z0-9]+[-_]+)*(?:header|masthead){_AFTER}", re.I)
+HEADER_NAME = re.compile(rf"{_STATE}(?:[a-z0-9]+[-_]+)*(?:header|masthead){_BEHIND}", re.I)
 #: Names that take an element inside a line out of its block.
-INLINE_NAME = re.compile(rf"{_OTHER}(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing){_AFTER}", re.I)
-NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+INLINE_NAME = re.compile(rf"{_STATE}(?:[a-z0-9]+[-_]+)*(?:ads?|adverts?|advertisements?|sponsors?|sponsored|promos?|share|sharing){_BEHIND}", re.I)
+NAMELESS = frozenset("p h1 h2 h3 h4 h5 h6 html body blockquote pre li dt dd figure figcaption table tbody tr td th".split())
+NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 NUMBER = re.compile(r"\d+")
 SEED = 11
 
 
 class Page:
-    """``sequence``: tokens of elements and blocks in page order. ``blocks``: (token, text, container, apart, around, in form).
+    """``sequence``: tokens of elements and blocks in page order. ``blocks``: (token, text, container, apart, around, in form, element).
+    ``elements``: (spot, parent, apart, form) of each element that holds blocks, parents first; a spot is an element's way from
+    the root, with its place among siblings of its kind and names.
 
     ``container`` is the token of the outermost article or main around the block, 0 outside. ``around`` is what names or a
     form say of that container and what it stands in. They may set a second article apart, but not the page's only one.
     """
 
-    __slots__ = ("blocks", "clear", "containers", "sequence")
+    __slots__ = ("blocks", "clear", "containers", "elements", "holders", "links", "sequence")
 
     def __init__(self, html: str):
         import xxhash
 
         mix = xxhash.xxh64_intdigest
         self.sequence: list[int] = []
-        self.blocks: list[tuple[int, str, int, bool, bool, bool]] = []
+        self.blocks: list[tuple[int, str, int, bool, bool, bool, int]] = []
+        self.elements: list[tuple[int, int, bool, bool]] = [(SEED, -1, False, False)]
+        self.links: list[int] = []  # characters of each block that stand in links
         self.containers: list[int] = []
+        self.holders: list[int] = []  # the same as elements
         self.clear = False  # whether a container is neither apart nor around
-        # name, path, container, apart by kind or unseen, apart by name, around, in form, cut out of its line
-        stack: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = [("", 0, 0, False, False, False, False, False)]
+        # name, path, container, apart by kind or unseen, apart by name, around, in form, cut out of its line, element, in a link
+        stack: list[tuple[str, int, int, bool, bool, bool, bool, bool, int, bool]] = [("", 0, 0, False, False, False, False, False, 0, False)]
         held: list[str] = []
+        linked: list[int] = []
+        nth: dict[int, int] = {}
 
         def flush() -> None:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                _, path, main, apart, by_name, around, form, _ = next(s for s in reversed(stack) if s[0] not in INLINE)
+                _, path, main, apart, by_name, around, form, _, element, _ = next(s for s in reversed(stack) if s[0] not in INLINE)
                 token = mix(f"{path}#{text}", SEED)
                 self.sequence.append(token)
-                self.blocks.append((token, text, main, apart or by_name, around, form))
+                self.blocks.append((token, text, main, apart or by_name, around, form, element))
+                self.links.append(min(len(text), sum(linked)))
+            linked.clear()
 
         def text_to(end: int) -> None:
             if at < end and not stack[-1][7]:
                 piece = html[at:end]
                 held.append(entities.unescape(piece) if "&" in piece else piece)
+                if stack[-1][9]:
+                    linked.append(len(held[-1].strip()))
 
         at = 0
         for m in MARKUP.finditer(html):
@@ -114,39 +127,76 @@ class Page:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), 0)
                 if depth and stack[depth][0] == "p" and name not in VOID:
                     del stack[depth:]
-            _, path, main, apart, by_name, around, form, cut = stack[-1]
+            _, path, main, apart, by_name, around, form, cut, element, link = stack[-1]
             given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[4])} if m[4] else {}
             named = " ".join(given[k] for k in ("class", "id", "role") if given.get(k))
             path = mix(f"{path}>{name}.{NUMBER.sub('', named)}", SEED)
             self.sequence.append(path)
             if name in VOID or m[4].endswith("/") and name in ("path", "use"):
                 continue
-            words = named.lower().split()
+            words = [] if name in NAMELESS else " ".join(given[k] for k in ("class", "role") if given.get(k)).lower().split()
+            if name in ("div", "aside", "ul") and given.get("id"):
+                words.append(given["id"].lower())
             opens = not main and (name in MAIN or "main" in words)
             unseen = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(NONE_SHOWN.search(given.get("style", "")))
+            link = link or name == "a" or bool(given.get("href"))
             if name in INLINE:
                 cut = cut or unseen or any(INLINE_NAME.fullmatch(w) for w in words)
             elif name not in ("html", "body"):
-                apart = apart or unseen or cut or name in APART and name != "form" and not (main and name == "header")
-                by_name = by_name or any(APART_NAME.fullmatch(w) or not (main or opens) and HEADER_NAME.fullmatch(w) for w in words)
+                own = unseen or cut or name in APART and name != "form"
+                told = any(APART_NAME.fullmatch(w) for w in words)
+                apart = apart or own and not (main and name == "header")
+                by_name = by_name or told or not (main or opens) and any(HEADER_NAME.fullmatch(w) for w in words)
                 cut = False
                 if name == "form":
                     by_name, form = by_name or bool(main), True
+                spot = mix(f"{self.elements[element][0]}>{name}.{NUMBER.sub('', named)}", SEED)
+                nth[spot] = nth.get(spot, 0) + 1
+                self.elements.append((mix(f"{spot}[{nth[spot]}]", SEED), element, (own and name != "header") or told, name == "form"))
+                element = len(self.elements) - 1
             if opens:
                 main, by_name, around, form = path, False, by_name or form, False
                 self.containers.append(path)
+                self.holders.append(element)
                 self.clear |= not (apart or around)
-            stack.append((name, path, main, apart, by_name, around, form, cut))
+            stack.append((name, path, main, apart, by_name, around, form, cut, element, link))
         text_to(len(html))
         flush()
 
-    def main_text(self, template: frozenset[int] | None) -> str:
-        """Text of the slots of ``template``; None: the host has none."""
+    def spots(self) -> list[tuple[int, int, int, int]]:
+        """(spot, depth, characters outside links, blocks) of each element, with all that stands in it."""
+        depth, mass, count = [0] * len(self.elements), [0] * len(self.elements), [0] * len(self.elements)
+        for (_, text, *_, element), links in zip(self.blocks, self.links):
+            mass[element] += len(text) - links
+            count[element] += 1
+        for k, (_, parent, *_) in enumerate(self.elements[1:], 1):
+            depth[k] = depth[parent] + 1
+        for k in range(len(self.elements) - 1, 0, -1):
+            mass[self.elements[k][1]] += mass[k]
+            count[self.elements[k][1]] += count[k]
+        return [(e[0], d, m, n) for e, d, m, n in zip(self.elements, depth, mass, count) if n]
+
+    def main_text(self, template: frozenset[int] | None, main: int | None = None) -> str:
+        """Text of the slots of ``template`` (None: the host has none) inside the element at the spot ``main``, if it is given and there."""
         kept, forms = [], []
+        if main is not None and any(e[0] == main for e in self.elements):
+            within, apart, form = [], [], []
+            for spot, parent, own, is_form in self.elements:  # what stands in the main element, and in something apart there
+                inside = parent >= 0 and within[parent]
+                apart.append(inside and (apart[parent] or own))
+                form.append(inside and (form[parent] or is_form))
+                within.append(inside or spot == main)
+            # Where an article or main stands inside, its kind says more than the mass of what is around it.
+            finer = any(within[h] and self.elements[h][0] != main for h in self.holders)
+            for token, text, *_, element in self.blocks if not finer else ():
+                if within[element] and not apart[element] and not (template and token in template):
+                    (forms if form[element] else kept).append(text)
+            if kept or forms:
+                return "\n".join(kept or forms)
         within = self.containers if not template else [c for c in self.containers if c in template]
         only = frozenset(within or self.containers)
-        for token, text, main, apart, around, form in self.blocks:
-            if apart or (around and self.clear) or (only and main not in only) or (template and token in template):
+        for token, text, container, apart, around, form, _ in self.blocks:
+            if apart or (around and self.clear) or (only and container not in only) or (template and token in template):
                 continue
             (forms if form else kept).append(text)
         return "\n".join(kept or forms)  # a form around the whole page is its text
@@ -161,22 +211,37 @@ def host(url: str = "url"):
 
 
 def token_table(pages: DataFrame) -> DataFrame:
-    """``host, page, tokens``: the tokens, in order, of each different page of a host. ``page`` is a hash of its blocks."""
+    """``host, page, tokens, spots``: the tokens, in order, and the elements' masses of each different page of a host. ``page`` is a hash of its blocks."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            marks, lists = [], []
+            marks, lists, spots = [], [], []
             for text in batch.column("html").to_pylist():
                 page = Page(text or "")
                 marks.append(_signed(xxhash.xxh64_intdigest(b"".join(b[0].to_bytes(8) for b in page.blocks), SEED)))
                 lists.append([_signed(t) for t in page.sequence])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(marks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["host", "page", "tokens"])
+                spots.append([(_signed(spot), *x) for spot, *x in page.spots()])
+            columns = [pa.array(marks, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(spots, spot_list)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "page", "tokens", "spots"])
 
-    found = pages.select(host().alias("host"), "html").mapInArrow(made, "host string, page long, tokens array<long>")
+    spot_list = pa.list_(pa.struct([("spot", pa.int64()), ("depth", pa.int32()), ("mass", pa.int64()), ("blocks", pa.int64())]))
+    found = pages.select(host().alias("host"), "html").mapInArrow(made, "host string, page long, tokens array<long>, spots array<struct<spot: long, depth: int, mass: long, blocks: long>>")
     # Copies of a page, by its blocks, count once: what they share is no template unless other pages have it as well.
-    return found.groupBy("host", "page").agg(F.min("tokens").alias("tokens"))
+    return found.groupBy("host", "page").agg(F.min(F.struct("tokens", "spots")).alias("one")).select("host", "page", "one.tokens", "one.spots")
+
+
+def main_spots(table: DataFrame, least_share: float = 0.6, least_blocks: float = 2.0) -> DataFrame:
+    """``host, main``: the deepest element that holds ``least_share`` of the text outside links of the host's pages, in
+    ``least_blocks`` blocks a page or more. Elements that hold over half of all stand in each other, so there is one deepest.
+    """
+    each = table.select("host", F.explode("spots").alias("s")).select("host", "s.*")
+    sums = each.groupBy("host", "spot").agg(F.sum("mass").alias("mass"), F.sum("blocks").alias("blocks"), F.count("*").alias("pages"), F.max("depth").alias("depth"))
+    whole = sums.where("depth = 0").select("host", F.col("mass").alias("all_mass"), F.col("pages").alias("all_pages"))
+    held = sums.join(whole, "host").where((F.col("mass") >= least_share * F.col("all_mass")) & (F.col("mass") > 0))
+    held = held.where((F.col("blocks") >= least_blocks * F.col("pages")) & (F.col("pages") >= least_share * F.col("all_pages")))
+    return held.groupBy("host").agg(F.max_by("spot", F.struct("depth", "spot")).alias("main"))
 
 
 def equivalence_classes(table: DataFrame, least_pages: int, least_share: float) -> DataFrame:
@@ -270,9 +335,8 @@ def class_places(tokens: list[int], owner: dict[int, int], sizes: dict[int, int]
     return out
 
 
-def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.6) -> DataFrame:
-    """``host, template``: the tokens of the valid classes of each host with at least ``least_pages`` different pages."""
-    table = settled(token_table(pages), "tokens")
+def templates(table: DataFrame, least_pages: int = 8, least_share: float = 0.6) -> DataFrame:
+    """``host, template``: the tokens of the valid classes of each host with at least ``least_pages`` different pages, from the ``token_table``."""
     classes = settled(equivalence_classes(table, least_pages, least_share), "vectors")
     classes = settled(ordered_classes(table, classes), "classes")
 
@@ -297,23 +361,25 @@ def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.6)
 def main_texts(pages: DataFrame, **options) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``; blocks are joined by a line feed.
 
-    A null or empty page has an empty text. Pages without a url are one host. On hosts with few different pages nothing is
-    a template, and the kinds and names of elements decide alone. Repeated rows stay rows of their own; an empty table gives
-    no rows.
+    A null or empty page has an empty text. Pages without a url are one host. On hosts with fewer than ``least_pages``
+    different pages (8) no block is a template's; where no element holds most of the text, as on hosts with few and short pages,
+    kinds and names decide alone where the main text is. Repeated rows stay rows of their own; an empty table gives no rows.
     """
-    found = settled(templates(pages, **options), "templates").withColumnRenamed("host", "_host")
+    table = settled(token_table(pages), "tokens")
+    found = templates(table, **options).join(main_spots(table), "host", "full")
+    found = settled(found, "templates").withColumnRenamed("host", "_host")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("_at"), "html")
-    joined = rows.join(found, F.col("_at") == F.col("_host"), "left").select("page_id", "url", "html", "template")
+    joined = rows.join(found, F.col("_at") == F.col("_host"), "left").select("page_id", "url", "html", "template", "main")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[tuple, frozenset[int]] = {}
             texts = []
-            for text, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+            for text, template, main in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "main")), strict=True):
                 key = tuple(template or ())
                 if key not in known:
                     known[key] = frozenset(x % (1 << 64) for x in key)
-                texts.append(Page(text or "").main_text(known[key] or None))
+                texts.append(Page(text or "").main_text(known[key] or None, None if main is None else main % (1 << 64)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -26,6 +26,47 @@ def test_names_and_attributes(html):
     assert html_text.Page(html).main_text(frozenset()) == "kept"
 
 
+@pytest.mark.parametrize("name", ["post-comments", "post-share", "post-nav", "post-related", "post-ad", "post-footer", "tag-cloud", "user-reviews", "comments-area", "sidebar-left", "related-posts", "social-icons"])
+def test_names_that_set_apart(name):
+    assert html_text.Page(f"<article><p>kept</p><div class='{name}'><p>no</p></div></article>").main_text(None) == "kept"
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<h2 id='search-algorithms'>kept</h2>", "<h2 id='login'>kept</h2>", "<h2 id='navigation-by-stars'>kept</h2>", "<section id='related-work'><p>kept</p></section>", "<ul class='menu-items'><li>kept</li></ul>", "<p class='alert'>kept</p>", "<p>kept</p><p style='visibility:hidden'>no</p>"],
+)
+def test_names_that_are_content(html):
+    assert html_text.Page(f"<article>{html}</article>").main_text(None) == "kept"
+    assert html_text.Page(html).main_text(None) == "kept"
+
+
+def _hidden(html, host):
+    """The page with its containers' kinds and names hidden: one kind, classes hashed by host or none."""
+    import hashlib
+    import re
+
+    def name(m):
+        close, tag, rest = m[1], m[2].lower(), m[3]
+        if tag not in ("article", "nav", "footer", "div", "ul", "li", "h1", "header", "main", "aside", "section"):
+            return m[0]
+        kind = hashlib.md5(f"{host}{tag}{rest}".encode()).hexdigest()[:8] if host else None
+        return f"<{close}div" + (f" class='{kind}'" if kind and not close else "") + ">"
+
+    return re.sub(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", name, html)
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_main_text_without_kinds_and_names(spark, data, classes):
+    """The given pages keep their texts if nothing but content tells an article from a menu, an advert or a footer."""
+    common.ship_package(spark)
+    pages = common.table(spark, data, "pages").selectExpr("page_id", "concat('http://h', page_id % 5, '.example/', page_id) AS url", "html")
+    texts = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    rows = [(r.page_id, r.url, _hidden(r.html, r.url.split("/")[2] if classes else None)) for r in pages.collect()]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    same = sum(got[k] == texts[k] for k in texts)
+    assert same == len(texts), (same, len(texts))
+
+
 def test_copies_are_no_template(spark):
     common.ship_package(spark)
     story = "<p>Home of all stories</p><p>The one story.</p><p>It ends here.</p>"
@@ -84,6 +125,21 @@ def _plain_template(pages, least_pages=8, least_share=0.6):
     return {t for c in classes for f in [facts[id(c)]] if all(g for g, _, _ in f) and len({min(o) for _, o, _ in f}) == 1 and len({a for *_, a in f}) == 1 for t in c}
 
 
+def _plain_main(pages, share=0.6):
+    """The deepest element with most of the text outside links and two blocks a page, over the different pages."""
+    seen = {}
+    for p in pages:
+        seen.setdefault(tuple(b[0] for b in p.blocks), p)
+    facts = defaultdict(lambda: [0, 0, 0, 0])
+    for p in seen.values():
+        for spot, depth, mass, blocks in p.spots():
+            f = facts[spot]
+            f[0], f[1], f[2], f[3] = depth, f[1] + mass, f[2] + blocks, f[3] + 1
+    whole = sum(f[1] for f in facts.values() if f[0] == 0)
+    held = [(f[0], html_text._signed(spot), spot) for spot, f in facts.items() if f[1] >= share * whole > 0 and f[2] >= 2 * f[3] and f[3] >= share * len(seen)]
+    return max(held)[2] if held else None
+
+
 def _host_pages(seed):
     """Pages of a made-up host: a nested template, a part that repeats, blocks in most pages, and an order that isn't kept."""
     draw = random.Random(seed)
@@ -108,19 +164,19 @@ def test_template_is_that_of_plain_deduction(spark):
     hosts = {f"h{seed}.example": _host_pages(seed) for seed in range(14)}
     rows = [(k, f"http://{h}/{k}", x) for h, pages in hosts.items() for k, x in enumerate(pages)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    found = {r.host: {t % (1 << 64) for t in r.template} for r in html_text.templates(df).collect()}
+    found = {r.host: {t % (1 << 64) for t in r.template} for r in html_text.templates(html_text.token_table(df)).collect()}
     got = Counter((r.url, r.text) for r in html_text.main_texts(df).collect())
     want, changed = Counter(), 0
     for h, pages in hosts.items():
         parsed = [html_text.Page(x) for x in pages]
-        template = _plain_template(parsed)
+        template, main = _plain_template(parsed), _plain_main(parsed)
         assert found.get(h, set()) == template
         for k, p in enumerate(parsed):
-            text = p.main_text(frozenset(template) or None)
+            text = p.main_text(frozenset(template) or None, main)
             want[f"http://{h}/{k}", text] += 1
-            changed += text != p.main_text(None)
+            changed += text != p.main_text(None, main)
             if template:
-                assert "fixed" in p.main_text(None) and f"fixed {h[1:].split('.')[0]} 0" not in text
+                assert "fixed" in p.main_text(None, main) and f"fixed {h[1:].split('.')[0]} 0" not in text
     assert got == want
-    assert changed > 100  # of some 200: without templates they have other texts, in containers too
+    assert changed > 100  # of some 200: without templates they have other texts, in main elements too
     assert len(found) > 8 and any(len(found.get(h, ())) == 0 for h in hosts)
