@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import corpus, evaluation, metrics, mlprep, normalize, sessions, soc, train
 from .driver_log import WIDE_SQL, event_log, wide_log
 from .registry import GEO_SQL, LABELLED_SQL, PAIRS_SQL, _geo, _labelled, _pairs, _r, _t, _time, query
+from .stated import LEAKS, SUSPECTS
 
 # --- raw records
 
@@ -187,7 +188,7 @@ def training_texts(spark, sf_dir):
     return out.join(masked, "text").select("conv_id", "pair", "example", F.col("text").alias("masked"), "answer")
 
 
-@query("SELECT conv_id, turn, regexp_matches(t, '(?i)" + "|".join(T.LEAKAGE).replace("'", "''") + "') AS leaks, regexp_matches(t, '(?i)" + "|".join(T.SUSPICIOUS) + "') AS suspicious, CASE WHEN length(t) % 100 >= 75 THEN 'high' WHEN length(t) % 100 >= 55 THEN 'middle' ELSE 'low' END AS band FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text || ' I''m sorry' WHEN 1 THEN 'wget x; ' || text ELSE text END AS t FROM conversations)", log=False)
+@query("SELECT conv_id, turn, regexp_matches(t, '(?i)" + LEAKS.replace("'", "''") + "') AS leaks, regexp_matches(t, '(?i)" + SUSPECTS + "') AS suspicious, CASE WHEN length(t) % 100 >= 75 THEN 'high' WHEN length(t) % 100 >= 55 THEN 'middle' ELSE 'low' END AS band FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text || ' I''m sorry' WHEN 1 THEN 'wget x; ' || text ELSE text END AS t FROM conversations)", log=False)
 def text_marks(spark, sf_dir):
     turn, text = F.col("turn") % 4, F.col("text")
     t = F.when(turn == 0, F.concat(text, F.lit(" I'm sorry"))).when(turn == 1, F.concat(F.lit("wget x; "), text)).otherwise(text)

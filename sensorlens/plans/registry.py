@@ -13,6 +13,7 @@ from ..functions import net, text as T
 from ..operators import corpus, evaluation, features, labels, metrics, mlprep, normalize, sessions, soc
 from .driver_log import LOG_SQL, WIDE_SQL, event_log, wide_log
 from .intelligence_sql import intelligence_sql
+from .stated import LEAKS
 
 GAP = 7200
 
@@ -443,7 +444,7 @@ def engagement_sensitivity(spark, sf_dir):
     return e.select("factor", "flagged", "sessions", *(_r(c, c) for c in ("mean_aei", "median_aei", "min_aei", "max_aei", "command_increase_pct", "duration_increase_pct")))
 
 
-@query("SELECT lang, count(*) AS samples, count(*) FILTER (WHERE f1 >= 0.75) AS consistent, count(*) FILTER (WHERE f1 < 0.45) AS semantic, count(*) FILTER (WHERE leak) AS leaked, count(*) FILTER (WHERE f1 < 0.45 OR leak) AS hallucinated, round(avg(f1), 6) AS mean_f1, round(avg(f1) FILTER (WHERE NOT (f1 < 0.45 OR leak)), 6) AS mean_f1_of_rest FROM (SELECT lang, (n_chars % 100) / 100 AS f1, CASE WHEN doc_id % 5 = 0 THEN text || ' Please note that' ELSE text END AS t, regexp_matches(t, '(?i)" + "|".join(T.LEAKAGE).replace("'", "''") + "') AS leak FROM documents) GROUP BY 1", log=False)
+@query("SELECT lang, count(*) AS samples, count(*) FILTER (WHERE f1 >= 0.75) AS consistent, count(*) FILTER (WHERE f1 < 0.45) AS semantic, count(*) FILTER (WHERE leak) AS leaked, count(*) FILTER (WHERE f1 < 0.45 OR leak) AS hallucinated, round(avg(f1), 6) AS mean_f1, round(avg(f1) FILTER (WHERE NOT (f1 < 0.45 OR leak)), 6) AS mean_f1_of_rest FROM (SELECT lang, (n_chars % 100) / 100 AS f1, CASE WHEN doc_id % 5 = 0 THEN text || ' Please note that' ELSE text END AS t, regexp_matches(t, '(?i)" + LEAKS.replace("'", "''") + "') AS leak FROM documents) GROUP BY 1", log=False)
 def quality_rates(spark, sf_dir):
     s = _t(spark, sf_dir, "documents").select("lang", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Please note that"))).otherwise(F.col("text")).alias("text"), ((F.col("n_chars") % 100) / 100).alias("f1"))
     q = evaluation.quality_rates(s, ["lang"], "text")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import walks
-from ..operators import corpus, evaluation, mlprep, saved_models, sketches, soc
+from ..operators import corpus, evaluation, mlprep, normalize, saved_models, sketches, soc
 from ..sources import readers, searchable, sinks
 from ..sources.shared import new_place as folder
 from .driver_log import event_log
-from .registry import ENGAGE_SQL, LABELLED_SQL, MODEL_FEATURES, ORDER_SQL, PAIRS_SQL, _labelled, _learnable, _pairs, _r, _t, _time, query
+from .registry import ENGAGE_SQL, LABELLED_SQL, MODEL_FEATURES, ORDER_SQL, PAIRS_SQL, _labelled, _learnable, _pairs, _r, _time, query
+from .stated import SSH_IDS
 
 
 def _valid_events(spark, sf_dir):
@@ -136,3 +137,36 @@ SELECT round(CASE WHEN max(h) FILTER (n = 1) > max(r) FILTER (n = 1) THEN 1 ELSE
 def corpus_bleu(spark, sf_dir):
     p = _pairs(spark, sf_dir).withColumn("sample", F.col("conv_id") * 1000 + F.col("pair"))
     return evaluation.corpus_bleu(p, "sample", reference="instruction", hypothesis="output").select(_r("bleu", "bleu"))
+
+
+_KINDS = " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in enumerate(SSH_IDS))
+
+
+@query(f"SELECT id::VARCHAR AS request_data, CASE id % {len(SSH_IDS)} {_KINDS} END AS event_type FROM log")
+def ssh_event_ids(spark, sf_dir):
+    """Each event id of the SSH sensor, and one that is none, by its type."""
+    ids = F.element_at(F.array(*(F.lit(i) for i, _ in SSH_IDS)), (F.col("id") % len(SSH_IDS) + 1).cast("int"))
+    raw = event_log(spark, sf_dir).select(F.to_json(F.struct(ids.alias("eventid"), F.col("id").cast("string").alias("message"))).alias("value"))
+    return normalize.normalize_ssh(raw).select("request_data", "event_type")
+
+
+@query("""SELECT id::VARCHAR AS session_id, 'suricata' AS log_source, 1 AS version, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS time, CASE WHEN id % 6 = 0 THEN 'unknown' ELSE 'flow' END AS event_type, src_ip, CASE WHEN id % 4 = 0 THEN -1 ELSE dest_port END AS src_port,
+ dest_ip, 443 AS dest_port, CASE WHEN id % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol, username, password, CASE WHEN id % 3 = 0 THEN 'printed ' || id WHEN id % 3 = 1 THEN 'raw ' || id END AS request_data, CASE WHEN id % 5 = 0 THEN 'q' || id || '.example' END AS dns_query,
+ CASE WHEN id % 7 = 0 THEN 'PUT' WHEN id % 7 = 1 THEN 'GET' END AS http_method, nullif(CASE WHEN id % 2 = 0 THEN 'h.example' ELSE '' END || coalesce(http_uri, ''), '') AS http_uri, CASE WHEN id % 8 = 0 THEN 'UA/8' WHEN id % 8 = 1 THEN 'UA/1' END AS http_user_agent,
+ CASE WHEN id % 9 = 0 THEN 'SCAN ' || id END AS alert_type, CASE WHEN id % 9 = 0 THEN severity END AS severity FROM log""")
+def normalize_ids_columns(spark, sf_dir):
+    """Every column that the intrusion detector's records give, from all the places that may hold it."""
+    i, log, text = F.col("id"), event_log(spark, sf_dir), lambda head: F.concat(F.lit(head), F.col("id").cast("string"))
+    some = lambda condition, value, name: F.when(condition, value).alias(name)
+    http = F.struct(
+        some(i % 7 == 0, F.lit("PUT"), "method"), some(i % 7 == 1, F.lit("GET"), "http_method"), some(i % 4 == 0, F.lit("h.example"), "host"), some(i % 4 == 2, F.lit("h.example"), "hostname"),
+        some(i % 3 == 0, F.col("http_uri"), "url"), some(i % 3 != 0, F.col("http_uri"), "uri"), some(i % 8 == 0, F.lit("UA/8"), "user_agent"), some(i % 8 == 1, F.lit("UA/1"), "http_user_agent"),
+    )
+    fields = F.struct(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), some(i % 6 != 0, F.lit("flow"), "event_type"), "src_ip", F.when(i % 4 == 0, "none").otherwise(F.col("dest_port").cast("string")).alias("src_port"), "dest_ip",
+        F.lit(443).alias("dest_port"), F.when(i % 2 == 0, "TCP").otherwise("UDP").alias("proto"), i.alias("flow_id"), "username", "password", some(i % 3 == 0, text("printed "), "payload_printable"),
+        some(i % 3 != 2, text("raw "), "payload"), F.struct(some(i % 5 == 0, F.concat(text("q"), F.lit(".example")), "rrname")).alias("dns"), http.alias("http"), some(i % 9 == 0, F.struct(text("SCAN ").alias("signature"), "severity"), "alert"),
+    )
+    e = normalize.normalize_ids(log.select(F.to_json(fields).alias("value")))
+    columns = ["session_id", "log_source", "version", "event_type", "src_ip", "dest_ip", "dest_port", "protocol", "username", "password", "request_data", "dns_query", "http_method", "http_uri", "http_user_agent", "alert_type", "severity"]
+    return e.select(*columns, F.coalesce("src_port", F.lit(-1)).alias("src_port"), _time("timestamp", "time"))
