@@ -7,8 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import net, text as T
 
 
-def command_features(s: DataFrame, split_pipes: bool = True) -> DataFrame:
-    """Counts, lengths, entropy and pattern flags of ``commands``. ``split_pipes``: a pipe inside a command parts it."""
+def command_features(s: DataFrame, split_pipes: bool = True, per_command: bool = False) -> DataFrame:
+    """Counts, lengths, entropy and pattern flags of ``commands``. ``split_pipes``: a pipe inside a command parts it.
+
+    Flags look at the commands joined by pipes, as published figures do, so that chains over several commands are found and
+    patterns with a pipe fire between commands; with ``per_command`` at each command by itself.
+    """
+    found = lambda pattern, case: F.exists("commands", lambda c: T.flag(c, pattern, case) == 1).cast("int") if per_command else T.flag(F.col("_joined"), pattern, case)
     joined = F.array_join("commands", "|")
     out = s.withColumn("_joined", joined)
     parts = F.filter(F.split("_joined", r"[|]") if split_pipes else F.col("commands"), lambda x: x != "")
@@ -21,13 +26,13 @@ def command_features(s: DataFrame, split_pipes: bool = True) -> DataFrame:
             "cmd_avg_length": T.mean_of(lengths), "cmd_max_length": T.max_of(lengths),
         }
     )
-    out = out.withColumns({name: T.flag(F.col("_joined"), pattern, case) for name, (pattern, case) in T.COMMAND_FLAGS.items()})
+    out = out.withColumns({name: found(pattern, case) for name, (pattern, case) in T.COMMAND_FLAGS.items()})
     entropies = F.transform("_parts", T.char_entropy)
     return out.withColumns(
         {
-            "has_encoded_payloads": F.greatest("has_base64_decode", T.flag(F.col("_joined"), T.HEX_RUN, True)),
+            "has_encoded_payloads": F.greatest("has_base64_decode", found(T.HEX_RUN, True)),
             "payload_entropy_avg": T.mean_of(entropies), "payload_entropy_max": F.coalesce(F.array_max(entropies), F.lit(0.0)), "avg_payload_length": T.mean_of(lengths),
-            "_tls": T.flag(F.col("_joined"), T.TLS_HINT, False),
+            "_tls": found(T.TLS_HINT, False),
         }
     ).drop("_parts", "_joined")
 
@@ -54,7 +59,8 @@ def network_features(s: DataFrame) -> DataFrame:
 
 
 def credential_features(s: DataFrame) -> DataFrame:
-    """Attempts are counted over the different event types, joined, as published figures do."""
+    """Attempts are counted over the different event types, joined, as published figures do; ``login_event_count`` of
+    ``build_sessions`` counts the events themselves."""
     kinds = F.lower(F.array_join("event_types", "|"))
     return s.withColumns(
         {
@@ -74,9 +80,9 @@ def derived_features(s: DataFrame) -> DataFrame:
     )
 
 
-def session_features(sessions: DataFrame, split_pipes: bool = True) -> DataFrame:
+def session_features(sessions: DataFrame, split_pipes: bool = True, per_command: bool = False) -> DataFrame:
     """``sessions`` (as ``build_sessions`` gives them) with all features."""
     empty = F.array().cast("array<string>")
     lists = ["commands", "event_types", "usernames", "passwords", "dest_ports", "protocols", "dns_queries", "http_uris"]
     full = sessions.withColumns({c: empty for c in lists if c not in sessions.columns})
-    return derived_features(credential_features(network_features(timing_features(command_features(full, split_pipes)))))
+    return derived_features(credential_features(network_features(timing_features(command_features(full, split_pipes, per_command)))))

@@ -76,18 +76,20 @@ def _event(rows: DataFrame, log_source: str, columns: dict[str, Column]) -> Data
     return rows.select(*(full.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in TYPES.items()))
 
 
-def ssh_event_type(eventid: Column) -> Column:
+def ssh_event_type(eventid: Column, strip_prefix: bool = False) -> Column:
+    """The type of an event id; of one that isn't known 'unknown', or with ``strip_prefix`` the id without the sensor's name."""
     names = F.create_map(*(F.lit(x) for kv in SSH_EVENT_TYPES.items() for x in kv))
-    return F.coalesce(names[eventid], F.lit("unknown"))
+    rest = F.nullif(F.regexp_replace(eventid, r"^cowrie\.", ""), F.lit(""))
+    return F.coalesce(names[eventid], *([rest] if strip_prefix else []), F.lit("unknown"))
 
 
-def normalize_ssh(raw: DataFrame, text: str = "value", sensor_ip: str | None = None) -> DataFrame:
+def normalize_ssh(raw: DataFrame, text: str = "value", sensor_ip: str | None = None, strip_prefix: bool = False) -> DataFrame:
     return _event(
         _objects(raw, text),
         "cowrie",
         {
             "timestamp": parsed_time(get("$.timestamp")),
-            "event_type": ssh_event_type(get("$.eventid")),
+            "event_type": ssh_event_type(get("$.eventid"), strip_prefix),
             "src_ip": first_of("$.src_ip", "$.src_host", "$.peer_ip"),
             "src_port": first_number("$.src_port", "$.peer_port"),
             "dest_ip": first_of("$.dst_ip", "$.dest_ip", otherwise=F.lit(sensor_ip).cast("string")),

@@ -111,6 +111,7 @@ def build_sessions(events: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataF
     value has the numbers in a group of its own.
     """
     bounds = [*(F.first(k).alias(k) for k in KEYS), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("event_count")]
+    bounds.append(F.count_if(F.lower("event_type").rlike("login|auth|connect")).alias("login_event_count"))
     whole = session_lists(sessionize(events, gap_seconds=gap_seconds), [*bounds, *_delay_figures()])  # a session has one of each key
     return whole.withColumn("duration_sec", _micros("start_time", "end_time") / 1_000_000)
 
@@ -137,7 +138,7 @@ def session_lists(marked: DataFrame, numbers: list | None = None) -> DataFrame:
     kept = ["timestamp", "id"]
     if numbers:
         values.append(F.struct(F.lit("").alias("name"), F.lit("").alias("v")))
-        kept += [*(k for k in KEYS if k in marked.columns), "delay", "next_delay"]
+        kept += [*(k for k in (*KEYS, "event_type") if k in marked.columns), "delay", "next_delay"]
     rows = marked.select("session", *kept, F.explode(F.array(*values)).alias("p")).select("session", *kept, "p.*")
     rows = rows.where(F.col("name").isin(*LISTS, "") | (F.col("v") != ""))
     if numbers:  # only the group of numbers has any
