@@ -108,13 +108,13 @@ def folds_of_tasks(spark, sf_dir):
     return saved_models.folds_of_tasks(_learnable(spark, sf_dir), MODEL_FEATURES, tasks, ["lr", "rf"], "doc_id")
 
 
-@query("""SELECT id, ['cat $(find / -name f' || id || ')', '(uname -a', 'ls ' || event_type] AS inner FROM log WHERE id % 3 <> 0 UNION ALL SELECT id, [] FROM log WHERE id % 3 = 0""")
+@query("SELECT id, CASE WHEN id % 3 <> 0 THEN 'cat $(find / -name f' || id || ') ~ (uname -a ~ ls ' || event_type ELSE '' END AS inside FROM log")
 def nested_commands(spark, sf_dir):
     """The first command in each outermost substitution; one that nothing closes gives none."""
     i = F.col("id").cast("string")
     text = F.concat(F.lit("echo $(cat $(find / -name f"), i, F.lit(") | head) && x=$( (uname -a; id) ) y $(ls "), F.col("event_type"), F.lit(" > /tmp/o) $(open ("))
     rows = event_log(spark, sf_dir).select("id", F.when(F.col("id") % 3 != 0, text).otherwise("ls (a) $(b").alias("command"))
-    return corpus.inner_commands(rows).select("id", "inner")
+    return corpus.inner_commands(rows).select("id", F.array_join("inner", " ~ ").alias("inside"))
 
 
 @query("SELECT id, CASE WHEN id % 4 = 0 THEN 'ac' || id ELSE 'plain ' || event_type END AS t FROM log")
