@@ -153,7 +153,7 @@ def ssh_event_ids(spark, sf_dir):
 @query("""SELECT id::VARCHAR AS session_id, 'suricata' AS log_source, 1 AS version, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS time, CASE WHEN id % 6 = 0 THEN 'unknown' ELSE 'flow' END AS event_type, src_ip, CASE WHEN id % 4 = 0 THEN -1 ELSE dest_port END AS src_port,
  dest_ip, 443 AS dest_port, CASE WHEN id % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol, username, password, CASE WHEN id % 3 = 0 THEN 'printed ' || id WHEN id % 3 = 1 THEN 'raw ' || id END AS request_data, CASE WHEN id % 5 = 0 THEN 'q' || id || '.example' END AS dns_query,
  CASE WHEN id % 7 = 0 THEN 'PUT' WHEN id % 7 = 1 THEN 'GET' END AS http_method, nullif(CASE WHEN id % 2 = 0 THEN 'h.example' ELSE '' END || coalesce(http_uri, ''), '') AS http_uri, CASE WHEN id % 8 = 0 THEN 'UA/8' WHEN id % 8 = 1 THEN 'UA/1' END AS http_user_agent,
- CASE WHEN id % 9 = 0 THEN 'SCAN ' || id END AS alert_type, CASE WHEN id % 9 = 0 THEN severity END AS severity FROM log""")
+ CASE WHEN id % 9 = 0 THEN 'SCAN ' || id END AS alert_type, CASE WHEN id % 9 = 0 THEN severity ELSE -1 END AS severity FROM log""")
 def normalize_ids_columns(spark, sf_dir):
     """Every column that the intrusion detector's records give, from all the places that may hold it."""
     i, log, text = F.col("id"), event_log(spark, sf_dir), lambda head: F.concat(F.lit(head), F.col("id").cast("string"))
@@ -168,5 +168,5 @@ def normalize_ids_columns(spark, sf_dir):
         some(i % 3 != 2, text("raw "), "payload"), F.struct(some(i % 5 == 0, F.concat(text("q"), F.lit(".example")), "rrname")).alias("dns"), http.alias("http"), some(i % 9 == 0, F.struct(text("SCAN ").alias("signature"), "severity"), "alert"),
     )
     e = normalize.normalize_ids(log.select(F.to_json(fields).alias("value")))
-    columns = ["session_id", "log_source", "version", "event_type", "src_ip", "dest_ip", "dest_port", "protocol", "username", "password", "request_data", "dns_query", "http_method", "http_uri", "http_user_agent", "alert_type", "severity"]
-    return e.select(*columns, F.coalesce("src_port", F.lit(-1)).alias("src_port"), _time("timestamp", "time"))
+    columns = ["session_id", "log_source", "version", "event_type", "src_ip", "dest_ip", "dest_port", "protocol", "username", "password", "request_data", "dns_query", "http_method", "http_uri", "http_user_agent", "alert_type"]
+    return e.select(*columns, *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("src_port", "severity")), _time("timestamp", "time"))
