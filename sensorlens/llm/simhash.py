@@ -9,7 +9,7 @@
    if it is nearer than radius - ball. Each shard compares what lives there with itself and its visitors, in blocks, and
    returns for each fingerprint that has a link the least one it hangs together with there.
 4. A shard that holds too many gets a tree of its own, grown in a task from a bounded sample of it, so that the shards grow
-   with the table. One that stays dense, because near copies crowd in a few bits where no radius parts them, isn't compared
+   with the table. These trees are a table, and each meets its shard's fingerprints, in pieces, and no others. One that stays dense, because near copies crowd in a few bits where no radius parts them, isn't compared
    pair by pair: fingerprints within two bits have a common value within one bit of each, so its fingerprints are dealt out
    by their 65 values within one bit, and those that meet, at most 65, are linked. This is exact, and linear in the shard.
 5. Links between shards become components by alternating large and small stars, a written table after each round.
@@ -187,8 +187,9 @@ def _heavy(placed: DataFrame, dense: int) -> DataFrame:
     return sizes.where((F.col("living") > dense) | (F.col("n") > 16 * dense)).select("shard", "part", "n")
 
 
-def _own_trees(placed: DataFrame, heavy: DataFrame, sample_size: int, leaves: int) -> dict[int, Node | int]:
-    """A tree for each of the ``heavy`` shards, of about ``leaves`` shards, grown in tasks from ``sample_size`` fingerprints each."""
+def _own_trees(placed: DataFrame, heavy: DataFrame, sample_size: int, leaves: int) -> DataFrame:
+    """``shard, tree``: a pickled tree for each of the ``heavy`` shards, grown in tasks from about ``sample_size`` fingerprints each;
+    its shards hold ``sample_size / leaves`` of the sample at most."""
 
     def grow(sample: pa.Table) -> pa.Table:
         points = np.sort(sample.column("fp").to_numpy().view(np.uint64))
@@ -197,7 +198,27 @@ def _own_trees(placed: DataFrame, heavy: DataFrame, sample_size: int, leaves: in
 
     shares = F.broadcast(heavy.select("shard", F.least(F.lit(1.0), F.lit(sample_size) / F.col("n")).alias("share")))  # of a bounded number of shards
     sampled = placed.join(shares, "shard").where(_sample_of("fp", F.col("share"))).select("shard", "fp")
-    return {r.shard: pickle.loads(r.tree) for r in sampled.groupBy("shard").applyInArrow(grow, "shard int, tree binary").collect()}
+    return sampled.groupBy("shard").applyInArrow(grow, "shard int, tree binary")
+
+
+def _parted(placed: DataFrame, heavy: DataFrame, trees: DataFrame, piece: int = 32_768) -> DataFrame:
+    """What is ``placed`` in ``heavy`` shards, dealt to the shards of their own trees. A shard goes in pieces of some ``piece``
+    fingerprints, each of which meets the shard's tree, so that no task holds more than one piece and one tree at a time."""
+
+    def part(rows: pa.Table, grown: pa.Table) -> pa.Table:
+        tree = pickle.loads(grown.column("tree")[0].as_py()) if len(grown) else 0
+        shards, fps, lives = (rows.column(c).to_numpy() for c in ("shard", "fp", "lives"))
+        made = []
+        for at in range(0, len(fps), 2_000):
+            some = slice(at, at + 2_000)
+            row, own, home = visits(tree, fps[some].view(np.uint64), guests=~lives[some].astype(bool))
+            made.append(pa.table({"shard": shards[some][row].astype(np.int32), "part": own.astype(np.int32), "fp": fps[some][row], "lives": home}))
+        return pa.concat_tables(made) if made else pa.table({"shard": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "fp": pa.array([], pa.int64()), "lives": pa.array([], pa.bool_())})
+
+    pieces = heavy.select("shard", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    rows = placed.join(F.broadcast(pieces), "shard").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))  # of a bounded number of shards
+    grown = trees.join(pieces, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return rows.groupBy("shard", "piece").cogroup(grown.groupBy("shard", "piece")).applyInArrow(part, PLACED)
 
 
 def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size: int = 4_096, dense: int = 32_768, leaves: int = 256) -> DataFrame:
@@ -218,22 +239,12 @@ def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size:
     placed = settled(groups.select("fp").mapInArrow(dealt, PLACED), "shards")
     heavy = settled(_heavy(placed, dense), "heavy")
     crowded = None
-    if names := [r.shard for r in heavy.select("shard").collect()]:
-        own = spark.sparkContext.broadcast(_own_trees(placed, heavy, sample_size // 8, leaves))
-
-        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shards, fps, lives = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp", "lives"))
-                for shard in np.unique(shards).tolist():
-                    here = np.flatnonzero(shards == shard)
-                    for at in range(0, len(here), 2_000):
-                        some = here[at : at + 2_000]
-                        row, part, home = visits(own.value.get(shard, 0), fps[some].view(np.uint64), guests=~lives[some].astype(bool))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), shard, np.int32)), pa.array(part), pa.array(fps[some][row]), pa.array(home)], ["shard", "part", "fp", "lives"])
-
-        inside = F.col("shard").isin(names)
-        placed = settled(placed.where(~inside).unionByName(placed.where(inside).mapInArrow(parted, PLACED)), "parts")
-        crowded = settled(_heavy(placed.where(inside), dense).select("shard", "part"), "crowded")  # at most ``leaves`` for each shard
+    if not heavy.isEmpty():
+        trees = settled(_own_trees(placed, heavy, sample_size // 8, leaves), "trees")
+        parts = settled(_parted(placed, heavy, trees), "parts")
+        crowded = settled(_heavy(parts, dense).select("shard", "part"), "crowded")
+        rest = placed.join(F.broadcast(heavy.select("shard")), "shard", "left_anti")  # of a bounded number of shards
+        placed = rest.select(*parts.columns).unionByName(parts)
 
     def compare(shard: pa.Table) -> pa.Table:
         fps, lives = shard.column("fp").to_numpy(), shard.column("lives").to_numpy()
@@ -241,10 +252,10 @@ def fingerprint_links(groups: DataFrame, sample_size: int = 65_536, shard_size:
         keep = a != b
         return pa.table({"a": a[keep], "b": b[keep]})
 
-    light = placed if crowded is None else placed.join(F.broadcast(crowded), ["shard", "part"], "left_anti").select(*placed.columns)
+    light = placed if crowded is None else placed.join(crowded, ["shard", "part"], "left_anti").select(*placed.columns)
     found = light.groupBy("shard", "part").applyInArrow(compare, "a long, b long")
     if crowded is not None:
-        full = placed.join(F.broadcast(crowded), ["shard", "part"], "left_semi")
+        full = placed.join(crowded, ["shard", "part"], "left_semi")
         bit = F.sequence(F.lit(0), F.lit(63))
         near = F.concat(F.array("fp"), F.transform(bit, lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
         meet = full.select("shard", "part", "fp", F.explode(near).alias("value"))
@@ -306,16 +317,19 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     by them; texts without a word are one group. The row with the least ``doc_id`` stays, of equal ones the first written.
     Rows without ``doc_id`` all stay.
     """
-    rows = settled(with_digests(docs.withColumn("_near_row", F.monotonically_increasing_id())), "rows")
-    found = settled(set_groups(rows, components, **options), "components")
-    marked = rows.select("_near_row", "doc_id", "_near_digest").join(found.hint("merge"), F.col("_near_digest") == F.col("node"), "left")
-    marked = marked.select("_near_row", F.coalesce("root", "_near_digest").alias("root"), F.col("doc_id").isNull().alias("without_id"), "doc_id")
-    marked = settled(marked, "marked")
-    groups = marked.where("not without_id").groupBy("root").agg(F.min(F.struct("doc_id", "_near_row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first._near_row")
-    drop = marked.join(groups.withColumnRenamed("_near_row", "_first").hint("merge"), "root").where("_near_row <> _first and not without_id").select("_near_row")
+    # All columns of the given rows are carried in a struct, so that no name of theirs meets one of these.
+    made = with_digests(docs).withColumn("near", F.monotonically_increasing_id())
+    rows, held = settled_at(made, "rows")
+    texts = rows.select("digest", F.col("row.text").cast("string").alias("text"), "size", "parity", "shorts")
+    found = settled(set_groups(texts, components, **options), "components")
+    ids = rows.select("near", F.col("row.doc_id").alias("doc_id"), "digest")
+    marked = ids.join(found.hint("merge"), F.col("digest") == F.col("node"), "left")
+    marked = settled(marked.select("near", F.coalesce("root", "digest").alias("root"), "doc_id"), "marked")
+    groups = marked.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "near")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.near").alias("stays"))
+    drop = marked.join(groups.hint("merge"), "root").where("near <> stays and doc_id is not null").select("near")
     # The rows to drop grow with the documents: they are never broadcast, and the plan is the same at every size. A small
     # map of their hashes lets the rows pass that are surely not among them.
     drop = settled(drop, "drop")
-    perhaps = perhaps_in(drop)("_near_row")
-    asked = rows.where(perhaps).join(drop.hint("merge"), "_near_row", "left_anti").select(*rows.columns)
-    return rows.where(~perhaps).unionByName(asked).select(*docs.columns)
+    told = perhaps_in(drop, drop.count())(rows.select("near", "row"), "near")
+    asked = told.where("perhaps").join(drop.hint("merge"), "near", "left_anti").select("row")
+    return told.where("not perhaps").select("row").unionByName(asked).select("row.*")

@@ -65,6 +65,35 @@ def test_stage_keeps_one_of_each_group(spark, options):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_groups(_sets(texts))))
 
 
+def test_long_texts_in_parts(spark):
+    """Sets around each border between numbers of parts, changed, cut and lengthened to similarities around 0.8."""
+    common.ship_package(spark)
+    rng, words, texts = random.Random(6), [f"w{k}" for k in range(400)], []
+    for n in (200, 250, 259, 300, 400, 512, 530, 700, 1030, 1500):
+        base = rng.choices(words, k=n)
+        texts.append(base)
+        for share in (0.01, 0.018, 0.022, 0.024, 0.03):
+            c = list(base)
+            for at in rng.sample(range(n), int(share * n)):
+                c[at] = "changed"
+            texts.append(c)
+        texts += [base[: int(n * 0.801)], base[int(n * 0.21) :], base + rng.choices(words, k=int(n * 0.24)), base + rng.choices(words, k=int(n * 0.27))]
+    texts = [" ".join(t) for t in texts]
+    groups = _groups(_sets(texts))
+    assert 20 < len(set(groups)) < 90
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for options in ({}, {"block": 5, "listed": 50}):
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each(df, **options).collect()) == sorted(set(groups))
+
+
+def test_all_columns_come_back(spark):
+    common.ship_package(spark)
+    df = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, "other words", 9, "z")], "doc_id long, text string, _near_row long, digest string")
+    df = df.withColumns({c: df._near_row for c in ("near", "row", "size", "_near_digest", "root", "a.b")})
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.near for r in kept.collect()) == [7, 9]
+
+
 def test_stage_on_documents(spark, data):
     common.ship_package(spark)
     docs = common.table(spark, data, "documents")
@@ -78,3 +107,43 @@ def test_rows_go_not_ids(spark):
     rows = [(1, "one text of some seven words here"), (2, "one text of some seven words here"), (2, "quite another text that nothing else is like"), (3, "quite another text that nothing else is like")]
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == [rows[0], rows[2]]
+
+
+def test_links_through_trees_of_full_shards(spark):
+    """Shards with trees of their own, in one piece and in several, and crowded ones give the links of all pairs."""
+    import numpy as np
+
+    common.ship_package(spark)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 40, np.uint64)
+    fps = set(rng.integers(0, 1 << 63, 1500, np.uint64).tolist())
+    for c in centres.tolist():  # crowds within a few bits of each other
+        for _ in range(60):
+            x = c
+            for bit in rng.integers(0, 64, rng.integers(0, 5)).tolist():
+                x ^= 1 << bit
+            fps.add(x)
+    x = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= simhash.LINK_BITS
+    label = np.arange(len(x))
+    while True:
+        least = np.where(near, label[None, :], len(x)).min(1)
+        least = np.minimum(label, least[least])
+        if (least == label).all():
+            break
+        label = least
+    groups = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(4)
+    want = {}
+    for v, k in zip(x.view(np.int64).tolist(), label.tolist()):
+        want.setdefault(k, set()).add(v)
+    want = sorted(sorted(s) for s in want.values() if len(s) > 1)
+    for dense, piece in ((100, None), (30, 20)):
+        with pytest.MonkeyPatch.context() as patch:
+            if piece:
+                parted = simhash._parted
+                patch.setattr(simhash, "_parted", lambda a, b, c: parted(a, b, c, piece))
+            found = simhash.components(simhash.fingerprint_links(groups, sample_size=800, shard_size=400, dense=dense, leaves=8)).collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.root, set()).add(r.node)
+        assert sorted(sorted(s) for s in got.values()) == want and len(want) > 20
