@@ -11,11 +11,11 @@
    differ in at most as many bits as sets do in shingles, so this leaves out most sets that meet, and none that are alike.
    Where they meet the part's parity of 512 bits tells, which parts of that size it does well, however long the texts; what
    is left of the pairs the whole set's parity tells, and then the sets.
-5. Of the sets that meet, each first asks the one with the nearest parity; where many meet, the nearest of a few of them. Of
+5. Candidates from elsewhere (those of the SimHash tree, ``simhash.tree_pairs``) are asked before all others, and none that hang
+   together by them asks the other again. What the candidates miss the prefixes find.
+6. Of the sets that meet, each then asks the one with the nearest parity; where many meet, the nearest of a few of them. Of
    what then doesn't hang together, all pairs that the parities allow are asked. Where a crowd meets, it is dealt into blocks:
    at first each asks in its own block and a few go to all; later those outside the crowd's largest group go to all blocks.
-
-SimHash balls don't do for this: texts at 0.8 differ in up to 17 of 64 bits, and a ball so wide leaves out no shard.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import settled, tidied
+from .common import released, settled, settled_at, tidied
 
 SEED = 42
 WORDS, TENTHS = 5, 8
@@ -48,9 +48,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit ``hashes``: the bits that are set in over half of them; 0 if there is none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at : at + 65_536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """For each text its different shingles, A-Z lowered, as sorted 64-bit hashes. A null or blank text has none; one of
     fewer words is one shingle, of all its words."""
+    return (shingles for _, shingles in words_and_sets(texts, words))
+
+
+def words_and_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the XXH64 of all its words, A-Z lowered and repeats included, and its ``shingle_sets``."""
     import xxhash
 
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, words, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,11 +92,11 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         ends = np.searchsorted(begin, bounds).tolist()
         for i, j in zip(ends, ends[1:], strict=False):
             if j - i >= words:
-                yield np.unique(windows[i : j - words + 1])
+                yield word[i:j], np.unique(windows[i : j - words + 1])
             elif j > i:
-                yield _mixed((word[i:j] * factors[: j - i]).sum(keepdims=True) + np.uint64(j - i)).view(np.int64)
+                yield word[i:j], _mixed((word[i:j] * factors[: j - i]).sum(keepdims=True) + np.uint64(j - i)).view(np.int64)
             else:
-                yield windows[:0]
+                yield word[:0], windows[:0]
 
 
 def levels(size: int, tenths: int = TENTHS) -> list[int]:
@@ -119,8 +133,8 @@ def part_parities(shingles: np.ndarray, tenths: int = TENTHS) -> np.ndarray:
 
 def with_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``row``, a struct of all columns of ``docs``, with ``digest``, which tells sets apart and is 0 for texts without a word,
-    ``size``, ``parity`` and ``shorts``, the parities of its parts."""
-    names = ["digest", "size", "parity", "shorts"]
+    ``fp``, the SimHash of its words, ``size``, ``parity`` and ``shorts``, the parities of its parts."""
+    names = ["digest", "fp", "size", "parity", "shorts"]
 
     @tidied
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,18 +143,19 @@ def with_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                digests, sizes, parities, shorts = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for s in shingle_sets(pc.struct_field(batch.column("row"), "text"), words):
+                digests, fps, sizes, parities, shorts = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for w, s in words_and_sets(pc.struct_field(batch.column("row"), "text"), words):
+                    fps.append(majority(w))
                     digests.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
                     sizes.append(len(s))
                     parities.append(parity(s))
                     shorts.append(part_parities(s))
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([*map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (parities, shorts)]
-                made_columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *lists]
+                made_columns = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, fps)), pa.array(sizes, pa.int32()), *lists]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *made_columns], ["row", *names])
 
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    schema = StructType([*held.schema.fields]).add("digest", LongType()).add("size", IntegerType()).add("parity", ArrayType(LongType())).add("shorts", ArrayType(LongType()))
+    schema = StructType([*held.schema.fields]).add("digest", LongType()).add("fp", LongType()).add("size", IntegerType()).add("parity", ArrayType(LongType())).add("shorts", ArrayType(LongType()))
     return held.mapInArrow(made, schema)
 
 
@@ -438,43 +453,53 @@ def still_asked(pairs: DataFrame, sketches: DataFrame, tenths: int) -> DataFrame
 
 
 def verified(pairs: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
-    """The ``pairs`` whose sets are alike, from ``texts`` (``digest, text``). Only the sets that are asked for are made, once."""
-    asked = settled(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "asked")
+    """The ``pairs`` whose sets are alike, written, from ``texts`` (``digest, text``). Only the sets that are asked for are made, once."""
+    asked, asked_at = settled_at(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "asked")
     near = shingled(perhaps_in(asked, asked.count())(texts.select("digest", "text"), "digest").where("perhaps"))
-    sets = settled(near.join(asked.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    sets, sets_at = settled_at(near.join(asked.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
     left, right = (sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return both.where((10 + tenths) * F.size(F.array_intersect("s_a", "s_b")) >= tenths * (F.size("s_a") + F.size("s_b"))).select(*pairs.columns)
+    alike = settled(both.where((10 + tenths) * F.size(F.array_intersect("s_a", "s_b")) >= tenths * (F.size("s_a") + F.size("s_b"))).select(*pairs.columns), "alike")
+    for path in (asked_at, sets_at):
+        released(pairs.sparkSession, path)
+    return alike
 
 
-def set_groups(rows: DataFrame, components, tenths: int = TENTHS, sample_size: int = 5_000, listed: int = 100_000, block: int = 2_048) -> DataFrame:
+def set_groups(rows: DataFrame, candidates: DataFrame, components, tenths: int = TENTHS, sample_size: int = 5_000, listed: int = 100_000, block: int = 2_048) -> DataFrame:
     """``node, root`` for each ``digest`` of ``rows`` (``digest, text, size, parity, shorts``) whose shingles have a Jaccard
     similarity of ``tenths`` / 10 or more with another's; ``root`` is the same for all that hangs together.
 
+    ``candidates``: written pairs ``a < b`` of digests that are asked first; which they are changes the work alone.
     ``components`` makes ``node, root`` of links ``a, b``. In the worst case, many sets that share rare shingles and nearly are
     alike but aren't, the pairs to verify grow with the square of their number.
     """
-    texts = rows.select("digest", "text")
+    spark, texts = rows.sparkSession, rows.select("digest", "text")
+    linked = verified(candidates, texts, tenths)
     sampled = settled(sampled_counts(texts, sample_size), "sampled")
-    tried = settled(met_sets(texts, tenths, _listed(sampled, listed)), "tried")
+    tried, tried_at = settled_at(met_sets(texts, tenths, _listed(sampled, listed)), "tried")
     counted = _by_shingle(tried).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
     last = sampled.withColumn("n", F.col("n") + F.lit(1 << 40))  # what the sample knew stays last
     met = settled(met_sets(texts, tenths, _listed(counted.unionByName(last), 5 * listed)), "met")
+    released(spark, tried_at)
     several = met.select("digest").distinct()
     some = perhaps_in(several, several.count())(rows.select("digest", "size", "parity", "shorts"), "digest").where("perhaps")
     sketches = settled(some.groupBy("digest").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("shorts").alias("shorts")), "sketches")
     shorts = sketches.select(F.col("digest").alias("_digest"), "size", "shorts")
     part = F.slice("shorts", F.col("slot") * SHORT + 1, SHORT).alias("parity")
     with_parity = lambda tagged: tagged.join(shorts.hint("merge"), F.col("digest") == F.col("_digest")).select("shingle", "digest", "group", "size", "level", part)
-    members = settled(with_parity(met.withColumn("group", F.col("digest"))), "members")
+    # Sets with one label hang together by candidates, if not yet all that do.
+    labels = linked.groupBy(F.col("b").alias("digest")).agg(F.min("a").alias("label"))
+    labelled = met.join(labels.hint("merge"), "digest", "left").select(*MET, F.coalesce("label", "digest").alias("group"))
+    members, members_at = settled_at(with_parity(labelled), "members")
 
     first = settled(still_asked(asked_pairs(members, tenths, True, block), sketches, tenths), "first")
-    grouped = settled(components(verified(first, texts, tenths)), "grouped")
+    released(spark, members_at)
+    grouped = settled(components(verified(first, texts, tenths).select("a", "b").unionByName(linked)), "grouped")
     # What still is to be asked meets where there is more than one group; most shingles have one by now, and need no parity.
     tagged = met.join(grouped.hint("merge"), F.col("digest") == F.col("node"), "left").select(*MET, F.coalesce("root", "digest").alias("group"))
     mixed = tagged.groupBy("shingle").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("shingle")
     apart = settled(with_parity(tagged.join(mixed.hint("merge"), "shingle", "left_semi")), "apart")
-    rest = asked_pairs(apart, tenths, False, block).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    rest = asked_pairs(apart, tenths, False, block).join(first.select("a", "b").unionByName(candidates).hint("merge"), ["a", "b"], "left_anti")
     rest = settled(still_asked(rest, sketches, tenths), "rest")
     joined = settled(components(verified(rest, texts, tenths).select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).select(F.col("node").alias("_node"), F.col("root").alias("_root")), "joined")
     own = grouped.join(joined.hint("merge"), F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import released, settled, settled_at
-from .shingles import perhaps_in, set_groups, with_digests
+from .shingles import majority, perhaps_in, set_groups, with_digests
 
 SEED = 42
 LINK_BITS = 2
@@ -46,12 +46,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ends = np.cumsum(sizes + 1) - 1
     width = min(words, len(found))
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip((ends - sizes)[: len(found) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip((ends - sizes)[: len(found) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8"))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -310,18 +305,36 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def tree_pairs(marks: DataFrame, **options) -> DataFrame:
+    """``a, b`` with ``a < b``, written: candidates among the ``digest`` of ``marks`` (``digest, fp``) from the tree over their fingerprints.
+
+    Those of one fingerprint meet the least of them, and the least of each fingerprint that of the one the tree links it
+    to: no more pairs than rows and links, however many hang together.
+    """
+    groups = settled(marks.groupBy("fp").agg(F.min("digest").alias("least")), "groups")
+    own = marks.join(groups.hint("merge"), "fp").select(F.col("least").alias("a"), F.col("digest").alias("b"))
+    side = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
+    links = fingerprint_links(groups, **options).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    pairs = own.unionByName(links.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+    return settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs``, with all its columns, for each group of near copies.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what hangs together
     by them; texts without a word are one group. The row with the least ``doc_id`` stays, of equal ones the first written.
     Rows without ``doc_id`` all stay.
+
+    The tree over SimHashes of single words, which a few changed words move less than those of shingles, finds candidates
+    within two bits, and their sets are compared. Alike texts that differ in more bits are found by their shingles.
     """
     # All columns of the given rows are carried in a struct, so that no name of theirs meets one of these.
     made = with_digests(docs).withColumn("near", F.monotonically_increasing_id())
     rows, held = settled_at(made, "rows")
     texts = rows.select("digest", F.col("row.text").cast("string").alias("text"), "size", "parity", "shorts")
-    found = settled(set_groups(texts, components, **options), "components")
+    marks = settled(rows.select("digest", "fp").distinct(), "fingerprints")
+    found = settled(set_groups(texts, tree_pairs(marks), components, **options), "components")
     ids = rows.select("near", F.col("row.doc_id").alias("doc_id"), "digest")
     marked = ids.join(found.hint("merge"), F.col("digest") == F.col("node"), "left")
     marked = settled(marked.select("near", F.coalesce("root", "digest").alias("root"), "doc_id"), "marked")
