@@ -452,6 +452,12 @@ def still_asked(pairs: DataFrame, sketches: DataFrame, tenths: int) -> DataFrame
     return both.select(*names, "size_a", "size_b", "parity_a", "parity_b").mapInArrow(allowed, pairs.schema)
 
 
+def sketched(rows: DataFrame, digests: DataFrame, *columns: str) -> DataFrame:
+    """``digest`` and ``columns`` of ``rows``, once for each of ``digests`` and perhaps for a few others."""
+    some = perhaps_in(digests, digests.count())(rows.select("digest", *columns), "digest").where("perhaps")
+    return some.groupBy("digest").agg(*(F.first(c).alias(c) for c in columns))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
     """The ``pairs`` whose sets are alike, written, from ``texts`` (``digest, text``). Only the sets that are asked for are made, once."""
     asked, asked_at = settled_at(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "asked")
@@ -474,16 +480,19 @@ def set_groups(rows: DataFrame, candidates: DataFrame, components, tenths: int =
     alike but aren't, the pairs to verify grow with the square of their number.
     """
     spark, texts = rows.sparkSession, rows.select("digest", "text")
-    linked = verified(candidates, texts, tenths)
+    named, named_at = settled_at(candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "named")
+    known, known_at = settled_at(sketched(rows, named, "size", "parity"), "known")
+    likely, likely_at = settled_at(still_asked(candidates, known, tenths), "likely")
+    linked = verified(likely, texts, tenths)
+    for path in (named_at, known_at, likely_at):
+        released(spark, path)
     sampled = settled(sampled_counts(texts, sample_size), "sampled")
     tried, tried_at = settled_at(met_sets(texts, tenths, _listed(sampled, listed)), "tried")
     counted = _by_shingle(tried).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
     last = sampled.withColumn("n", F.col("n") + F.lit(1 << 40))  # what the sample knew stays last
     met = settled(met_sets(texts, tenths, _listed(counted.unionByName(last), 5 * listed)), "met")
     released(spark, tried_at)
-    several = met.select("digest").distinct()
-    some = perhaps_in(several, several.count())(rows.select("digest", "size", "parity", "shorts"), "digest").where("perhaps")
-    sketches = settled(some.groupBy("digest").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("shorts").alias("shorts")), "sketches")
+    sketches = settled(sketched(rows, met.select("digest").distinct(), "size", "parity", "shorts"), "sketches")
     shorts = sketches.select(F.col("digest").alias("_digest"), "size", "shorts")
     part = F.slice("shorts", F.col("slot") * SHORT + 1, SHORT).alias("parity")
     with_parity = lambda tagged: tagged.join(shorts.hint("merge"), F.col("digest") == F.col("_digest")).select("shingle", "digest", "group", "size", "level", part)
