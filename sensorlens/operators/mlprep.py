@@ -117,9 +117,13 @@ def leaks(features: list[str], labels: list[str], df: DataFrame | None = None, t
     return sorted(set(bad))
 
 
-def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+def class_counts(df: DataFrame, label: str) -> dict:
+    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+
+
+def class_weights(df: DataFrame, label: str, name: str = "weight", counts: dict | None = None) -> DataFrame:
     """``df`` with a balanced weight: rows / (2 * rows of the class)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counts = class_counts(df, label) if counts is None else counts
     total = sum(counts.values())
     weight = reduce(lambda c, kv: F.when(F.col(label) == kv[0], total / (2.0 * kv[1])).otherwise(c), counts.items(), F.lit(1.0))
     return df.withColumn(name, weight)

@@ -6,14 +6,14 @@ probabilities of all labels. Folds over tasks and models refit all of it, scaler
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import settled
 from . import metrics, mlprep, train
 
 VECTOR = "scaled_features"
@@ -22,7 +22,7 @@ VECTOR = "scaled_features"
 def scaling_stage(scaler: DataFrame) -> tuple[SQLTransformer, list[str]]:
     """What ``mlprep.scale`` does, as a stage: each feature of ``scaler`` cleaned, logged where fitted so and scaled, in a column of its own."""
     columns, made = [], []
-    for k, r in enumerate(scaler.orderBy("feature").collect()):  # a row for each feature
+    for k, r in enumerate(sorted(scaler.collect(), key=lambda r: r["feature"])):  # a row for each feature
         value = f"CAST(`{r.feature}` AS DOUBLE)"
         clean = f"CASE WHEN {value} IS NULL OR isnan({value}) OR abs({value}) = double('infinity') THEN 0D ELSE {value} END"
         logged = f"log1p(greatest({clean}, 0D))" if r.log1p else clean
@@ -31,19 +31,20 @@ def scaling_stage(scaler: DataFrame) -> tuple[SQLTransformer, list[str]]:
     return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__"), columns
 
 
+def _classifier(ready: DataFrame, label: str, model: str, rounds: int) -> Model:
+    made = train.fit_vectors(ready, label, model, rounds, VECTOR)
+    return made.setRawPredictionCol(f"raw_{label}").setProbabilityCol(f"probability_{label}").setPredictionCol(f"prediction_{label}")
+
+
 def fitted(rows: DataFrame, features: list[str], labels: list[str], model: str, rounds: int = 200) -> PipelineModel:
     """Scaler and a classifier of kind ``model`` for each of ``labels``, fitted on ``rows``."""
     stage, columns = scaling_stage(mlprep.fit_scaler(rows, features))
     assembler = VectorAssembler(inputCols=columns, outputCol=VECTOR, handleInvalid="keep")
     ready = assembler.transform(stage.transform(rows)).select(VECTOR, *labels).persist()
-    n, stages = ready.count(), [stage, assembler]
-    for y in labels:
-        weighted = mlprep.class_weights(ready.withColumn("label", F.col(y).cast("double")), "label")
-        estimator = train.FACTORIES[model](n, rounds).setFeaturesCol(VECTOR)
-        made = estimator.fit(weighted.select(VECTOR, "label", "weight").coalesce(max(1, -(-n // train.ROWS_A_TASK))))
-        stages.append(made.setRawPredictionCol(f"raw_{y}").setProbabilityCol(f"probability_{y}").setPredictionCol(f"prediction_{y}"))
+    ready.count()  # side by side, each would compute it
+    made = train.side_by_side(ready, [partial(_classifier, ready, y, model, rounds) for y in labels])
     ready.unpersist()
-    return PipelineModel(stages)
+    return PipelineModel([stage, assembler, *made])
 
 
 def save(pipeline: PipelineModel, path: str) -> None:
@@ -68,26 +69,22 @@ def folds_of_tasks(df: DataFrame, features: list[str], tasks: dict[str, list[str
     ``at_once`` of them are fitted side by side.
     """
     labels = sorted({y for ys in tasks.values() for y in ys})
-    rows = mlprep.stratified_folds(df, next(iter(tasks.values()))[0], key, folds).select("fold", *features, *labels).persist()
-
-    def one(fold: int, model: str) -> DataFrame:
-        pipeline = fitted(rows.where(F.col("fold") != fold), features, labels, model, rounds)
-        scored = pipeline.transform(rows.where(F.col("fold") == fold))
-        each = [F.struct(F.lit(y).alias("label_name"), F.col(y).cast("int").alias("label"), F.col(f"prediction_{y}").cast("int").alias("prediction"), F.round(F.get(vector_to_array(f"probability_{y}"), 1), 9).alias("score")) for y in labels]
-        return scored.select(F.lit(fold).alias("fold"), F.lit(model).alias("model"), F.explode(F.array(*each)).alias("s")).select("fold", "model", "s.*")
-
-    with ThreadPoolExecutor(at_once) as pool:
-        jobs = [pool.submit(inheritable_thread_target(one), fold, model) for model in models for fold in range(folds)]
-        parts = [j.result() for j in jobs]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    rows = settled(mlprep.stratified_folds(df, next(iter(tasks.values()))[0], key, folds).select("fold", *features, *labels), "folds")
+    others = [rows.where(F.col("fold") != k) for k in range(folds)]
+    scaling = train.side_by_side(rows, [lambda x=x: scaling_stage(mlprep.fit_scaler(x, features)) for x in others], at_once)
+
+    def one(model: str, fold: int) -> DataFrame:
+        stage, columns = scaling[fold]
+        fitting, asked = (stage.transform(x).select("fold", *columns, *labels) for x in (others[fold], rows.where(F.col("fold") == fold)))
+        scored = train.held_out(fitting, asked, columns, labels, model, rounds)
+        return scored.withColumns({"model": F.lit(model), "label": F.col("label").cast("int"), "prediction": F.col("prediction").cast("int"), "score": F.round("score", 9)})
+
+    parts = train.side_by_side(rows, [partial(one, m, k) for m in models for k in range(folds)], at_once)
+    out = settled(reduce(DataFrame.unionByName, parts), "scored")
     keys = ["fold", "model", "label_name"]
     figures = metrics.binary_metrics(out, keys).select(*keys, "f1").join(metrics.ranking_metrics(out, keys), keys)
     named = F.create_map(*(x for task, ys in tasks.items() for x in (F.lit(task), F.array(*map(F.lit, ys)))))
     by_task = figures.select("*", F.explode(named).alias("task", "of")).where(F.array_contains("of", F.col("label_name")))
     means = by_task.groupBy("task", "model", "fold").agg(*(F.avg(m).alias(m) for m in ("f1", "roc_auc", "average_precision")))
     long = means.unpivot(["task", "model", "fold"], ["f1", "roc_auc", "average_precision"], "metric", "value")
-    result = metrics.over_folds(long, ["task", "model", "metric"])
-    rows.unpersist()
-    return result
+    return metrics.over_folds(long, ["task", "model", "metric"])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from . import metrics, mlprep
+from . import forest, metrics, mlprep
 
 #: Estimators by name; more can be added.
 FACTORIES: dict[str, Callable] = {
@@ -20,23 +23,44 @@ FACTORIES: dict[str, Callable] = {
 }
 LEAST_POSITIVES = 50
 ROWS_A_TASK = 100_000
+#: Models that are fitted side by side.
+AT_ONCE = 8
+
+
+def vectors(df: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(mlprep.cleaned(df, features))
 
 
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    rows = mlprep.cleaned(df, features).withColumn("label", F.col(label).cast("double"))
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    return vectors(df, features).withColumn("label", F.col(label).cast("double"))
 
 
-def fit(train: DataFrame, features: list[str], label: str, model: str, rounds: int = 200) -> Model:
-    rows, n = mlprep.class_weights(assembled(train, features, label), "label"), train.count()
+def fit_vectors(rows: DataFrame, label: str, model: str, rounds: int = 200, vector: str = "features") -> Model:
+    """A classifier of ``label``, fitted on ``rows`` whose features are in ``vector``."""
+    rows = rows.select(vector, F.col(label).cast("double").alias("label"))
+    n = sum((counts := mlprep.class_counts(rows, "label")).values())
     # Trees take hundreds of small jobs one after the other: tasks of few rows would only cost their start.
-    return FACTORIES[model](n, rounds).fit(rows.select("features", "label", "weight").coalesce(max(1, -(-n // ROWS_A_TASK))))
+    return FACTORIES[model](n, rounds).setFeaturesCol(vector).fit(mlprep.class_weights(rows, "label", counts=counts).coalesce(max(1, -(-n // ROWS_A_TASK))))
+
+
+def fit(train: DataFrame, features: list[str], label: str, model: str, rounds: int = 200) -> Model:
+    return fit_vectors(vectors(train, features), label, model, rounds)
+
+
+def side_by_side(df: DataFrame, jobs: list[Callable], at_once: int = AT_ONCE) -> list:
+    """What ``jobs`` return, in their order; a single fit's small jobs leave most cores idle."""
+    own = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(at_once) as pool:
+        return [x.result() for x in [pool.submit(own(job)) for job in jobs]]
+
+
+def _with_score(out: DataFrame) -> DataFrame:
+    return out.withColumn("score", F.get(vector_to_array("probability"), 1)).drop("rawPrediction", "probability")
 
 
 def scored(model: Model, df: DataFrame, features: list[str], label: str) -> DataFrame:
     """``df`` with ``label``, ``prediction`` and ``score``, the probability of 1."""
-    out = model.transform(assembled(df, features, label))
-    return out.withColumn("score", F.get(vector_to_array("probability"), 1)).drop("rawPrediction", "probability")
+    return _with_score(model.transform(assembled(df, features, label)))
 
 
 def eligible(train: DataFrame, labels: list[str], least: int = LEAST_POSITIVES) -> list[str]:
@@ -44,6 +68,18 @@ def eligible(train: DataFrame, labels: list[str], least: int = LEAST_POSITIVES)
     return [y for y in labels if row[y] >= least]
 
 
+def held_out(train: DataFrame, rest: DataFrame, features: list[str], labels: list[str], model: str, rounds: int = 200) -> DataFrame:
+    """``rest`` without ``features``, with ``label_name``, ``label``, ``prediction`` and ``score`` for each of ``labels``, by classifiers fitted on ``train``; features are numbers."""
+    estimator, own = FACTORIES[model](1, rounds), [c for c in rest.columns if c not in (*features, *labels)]
+    if isinstance(estimator, RandomForestClassifier) and (out := forest.scores(train, rest, features, labels, estimator)) is not None:
+        return out.drop(*features)
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    train, rest = assembler.transform(train), assembler.transform(rest)
+    made = side_by_side(rest, [partial(fit_vectors, train, y, model, rounds) for y in labels])
+    parts = [_with_score(m.transform(rest)).select(*own, F.lit(y).alias("label_name"), F.col(y).cast("double").alias("label"), "prediction", "score") for y, m in zip(labels, made, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate(splits: DataFrame, features: list[str], labels: list[str], models: list[str], rounds: int = 200) -> DataFrame:
     """``label_name, model, split`` and metrics: one model for each label and kind, fitted on split 'train'."""
     train, out = splits.where("split = 'train'").persist(), None

@@ -546,11 +546,11 @@ def terminal_pairs(spark, sf_dir):
 
 
 def _learnable(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
-    symbols = F.length(F.regexp_replace("text", r"[^#*$%&|]", "")) / F.greatest(F.length("text"), F.lit(1))
-    capitals = F.length(F.regexp_replace("text", r"[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
-    lines = F.size(F.split("text", "\n"))
-    return d.select("doc_id", "quality", "toxic", F.col("n_chars").cast("double").alias("n_chars"), symbols.alias("symbols"), capitals.alias("capitals"), lines.cast("double").alias("lines"))
+    # Figures come before the join, so that no text is shuffled.
+    share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / F.greatest(F.length("text"), F.lit(1))
+    lines = F.regexp_count("text", F.lit("\n")) + 1
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), share(r"[#*$%&|]").alias("symbols"), share("[A-Z]").alias("capitals"), lines.cast("double").alias("lines"))
+    return d.join(_t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic", "n_chars", "symbols", "capitals", "lines")
 
 
 MODEL_FEATURES = ["n_chars", "symbols", "capitals", "lines"]
