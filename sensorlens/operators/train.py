@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import settled
 from . import forest, metrics, mlprep
 
 #: Estimators by name; more can be added.
@@ -82,14 +83,11 @@ def held_out(train: DataFrame, rest: DataFrame, features: list[str], labels: lis
 
 def evaluate(splits: DataFrame, features: list[str], labels: list[str], models: list[str], rounds: int = 200) -> DataFrame:
     """``label_name, model, split`` and metrics: one model for each label and kind, fitted on split 'train'."""
-    train, out = splits.where("split = 'train'").persist(), None
-    for y in labels:
-        for m in models:
-            rows = scored(fit(train, features, y, m, rounds), splits.where("split <> 'train'"), features, y)
-            rows = rows.select("split", "label", "prediction", F.round("score", 9).alias("score"), F.lit(y).alias("label_name"), F.lit(m).alias("model"))
-            out = rows if out is None else out.unionByName(rows)
-    train.unpersist()
-    keys = ["label_name", "model", "split"]
+    rows = settled(mlprep.cleaned(splits, features).select("split", *features, *labels), "splits")
+    train, rest = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    parts = side_by_side(rows, [partial(held_out, train, rest, features, labels, m, rounds) for m in models])
+    parts = [p.withColumns({"score": F.round("score", 9), "model": F.lit(m)}) for m, p in zip(models, parts, strict=True)]
+    out, keys = settled(reduce(DataFrame.unionByName, parts), "scored"), ["label_name", "model", "split"]
     return metrics.binary_metrics(out, keys).join(metrics.ranking_metrics(out, keys), keys)
 
 

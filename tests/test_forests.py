@@ -89,3 +89,10 @@ def test_a_tree_of_all_features_knows_its_cells():
     # Leaves of one prediction become their parent, and say what all its rows say.
     flat = forest.grown(np.array([[0], [1], [2]], np.uint8), np.array([4.0, 9.0, 8.0]), np.array([1.0, 0.0, 1.0]), 1, 30, draw)
     assert flat == pytest.approx([2 / 23] * 3)
+
+
+def test_evaluation_computes_its_input_once(spark, noisy):
+    rows, seen = _counted(spark, noisy)
+    splits = mlprep.stratified_split(rows, "y", "id")
+    assert train.evaluate(splits, ["a", "b"], ["y"], ["lr", "rf"], rounds=3).count() == 4
+    assert seen.value == 1200
