@@ -91,6 +91,12 @@ def test_a_tree_of_all_features_knows_its_cells():
     assert flat == pytest.approx([2 / 23] * 3)
 
 
+def test_cross_validation_computes_its_input_once(spark, noisy):
+    rows, seen = _counted(spark, noisy)
+    assert len(train.cross_validate(rows, ["a", "b"], "y", "id", "rf", folds=3, rounds=3).first().per_fold) == 3
+    assert seen.value == 1200
+
+
 def test_evaluation_computes_its_input_once(spark, noisy):
     rows, seen = _counted(spark, noisy)
     splits = mlprep.stratified_split(rows, "y", "id")
