@@ -70,14 +70,16 @@ def folds_of_tasks(df: DataFrame, features: list[str], tasks: dict[str, list[str
     """
     labels = sorted({y for ys in tasks.values() for y in ys})
     rows = settled(mlprep.stratified_folds(df, next(iter(tasks.values()))[0], key, folds).select("fold", *features, *labels), "folds")
-    others = [rows.where(F.col("fold") != k) for k in range(folds)]
-    scaling = train.side_by_side(rows, [lambda x=x: scaling_stage(mlprep.fit_scaler(x, features)) for x in others], at_once)
+    scaling = train.side_by_side(rows, [lambda k=k: scaling_stage(mlprep.fit_scaler(rows.where(F.col("fold") != k), features)) for k in range(folds)], at_once)
+    columns = scaling[0][1]
+    # Folders of a fold each: what reads them has no figures of a fold in its plan, so all folds run the same compiled code.
+    each = [stage.transform(rows).select(*columns, *labels, (F.col("fold") == k).alias("held"), F.lit(k).alias("of")) for k, (stage, _) in enumerate(scaling)]
+    scaled = settled(reduce(DataFrame.unionByName, each), "scaled", ("of", "held"))
 
     def one(model: str, fold: int) -> DataFrame:
-        stage, columns = scaling[fold]
-        fitting, asked = (stage.transform(x).select("fold", *columns, *labels) for x in (others[fold], rows.where(F.col("fold") == fold)))
-        scored = train.held_out(fitting, asked, columns, labels, model, rounds)
-        return scored.withColumns({"model": F.lit(model), "label": F.col("label").cast("int"), "prediction": F.col("prediction").cast("int"), "score": F.round("score", 9)})
+        fitting, asked = (scaled.where((F.col("of") == fold) & (F.col("held") == held)).select(*columns, *labels) for held in (False, True))
+        scored = train.held_out(fitting, asked, columns, labels, model, rounds, at_once=1)
+        return scored.withColumns({"fold": F.lit(fold), "model": F.lit(model), "label": F.col("label").cast("int"), "prediction": F.col("prediction").cast("int"), "score": F.round("score", 9)})
 
     parts = train.side_by_side(rows, [partial(one, m, k) for m in models for k in range(folds)], at_once)
     out = settled(reduce(DataFrame.unionByName, parts), "scored")

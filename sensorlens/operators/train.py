@@ -69,14 +69,14 @@ def eligible(train: DataFrame, labels: list[str], least: int = LEAST_POSITIVES)
     return [y for y in labels if row[y] >= least]
 
 
-def held_out(train: DataFrame, rest: DataFrame, features: list[str], labels: list[str], model: str, rounds: int = 200) -> DataFrame:
+def held_out(train: DataFrame, rest: DataFrame, features: list[str], labels: list[str], model: str, rounds: int = 200, at_once: int = AT_ONCE) -> DataFrame:
     """``rest`` without ``features``, with ``label_name``, ``label``, ``prediction`` and ``score`` for each of ``labels``, by classifiers fitted on ``train``; features are numbers."""
     estimator, own = FACTORIES[model](1, rounds), [c for c in rest.columns if c not in (*features, *labels)]
     if isinstance(estimator, RandomForestClassifier) and (out := forest.scores(train, rest, features, labels, estimator)) is not None:
         return out.drop(*features)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     train, rest = assembler.transform(train), assembler.transform(rest)
-    made = side_by_side(rest, [partial(fit_vectors, train, y, model, rounds) for y in labels])
+    made = side_by_side(rest, [partial(fit_vectors, train, y, model, rounds) for y in labels], at_once)
     parts = [_with_score(m.transform(rest)).select(*own, F.lit(y).alias("label_name"), F.col(y).cast("double").alias("label"), "prediction", "score") for y, m in zip(labels, made, strict=True)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -23,8 +23,8 @@ def new_place(spark: SparkSession, label: str) -> str:
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written there and read again, so that later readers neither recompute it nor depend on an executor."""
+def settled(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written there, in folders by ``by``, and read again, so that later readers neither recompute it nor depend on an executor."""
     path = new_place(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
