@@ -30,7 +30,7 @@ def split_points(rows: DataFrame, columns: list[str], most: int) -> list[list[fl
     found, open_ = {c: set() for c in columns}, list(columns)
     while open_:
         left = {c: most - len(found[c]) for c in open_}
-        rest = [F.when(~F.col(c).isin(*sorted(found[c])), F.col(c)).otherwise(F.lit(None).cast("double")).alias(c) if found[c] else F.col(c) for c in open_]
+        rest = [F.when(~F.array_contains(F.array(*map(F.lit, sorted(found[c]))), F.col(c)), F.col(c)).alias(c) if found[c] else F.col(c) for c in open_]
         shares = [F.percentile_approx(c, F.array(*(F.lit((k + 1) / (left[c] + 1)) for k in range(left[c]))), round(1 / ERROR)).alias(c) for c in open_]
         row, now = rows.select(*rest).agg(*shares).first(), []
         for c in open_:

@@ -125,5 +125,6 @@ def class_weights(df: DataFrame, label: str, name: str = "weight", counts: dict
     """``df`` with a balanced weight: rows / (2 * rows of the class)."""
     counts = class_counts(df, label) if counts is None else counts
     total = sum(counts.values())
-    weight = reduce(lambda c, kv: F.when(F.col(label) == kv[0], total / (2.0 * kv[1])).otherwise(c), counts.items(), F.lit(1.0))
-    return df.withColumn(name, weight)
+    # A map goes beside the compiled code, not into it, so that fits on other rows run the same code.
+    weights = F.create_map(*(F.lit(x) for value, n in counts.items() if value is not None for x in (value, total / (2.0 * n))))
+    return df.withColumn(name, F.coalesce(F.element_at(weights, F.col(label)), F.lit(1.0)) if set(counts) - {None} else F.lit(1.0))
